@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import langid, packing, sharding, warc
 
 
 def _table(spark, sf_dir, name):
@@ -17,5 +17,13 @@ def op3_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing)}
-ORACLES: dict[str, str] = {}
+def op5_warc(spark, sf_dir):
+    return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+
+
+def op9_langid(spark, sf_dir):
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing, op5_warc, op9_langid)}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE_SQL}
