@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, packing, sharding, warc
+from . import langid, near_dedup, packing, sharding, warc
 
 
 def _table(spark, sf_dir, name):
@@ -21,9 +21,13 @@ def op5_warc(spark, sf_dir):
     return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
 
 
+def op6_simhash(spark, sf_dir):
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing, op5_warc, op9_langid)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing, op5_warc, op6_simhash, op9_langid)}
 ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE_SQL}
