@@ -9,77 +9,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import components, cut
-
-ROWS_PER_TASK = 400_000
-
-
-def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The labels of n rows after joining the rows a and b: the least row of each group."""
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return label
-
-
-def bucket_edges(key: np.ndarray, rest: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (i, j) of equal key within limit bits, enough of them to join all such rows into groups.
-
-    Rows are put in the order of the trie, where the deepest common prefixes are neighbours. Neighbours are
-    verified first, then rows at growing distance in dense buckets, which joins a group of copies in linear time.
-    The climb to the bucket itself then tries every pair that is not joined yet: rows outside a bucket's largest
-    group against all rows of the bucket. No pair is left out, and none inside a group is tried twice.
-    """
-    order = np.lexsort((rest, key))
-    key, fp = key[order], fp[order]
-    n = len(key)
-    label, found = np.arange(n), []
-    if n < 2:
-        return order[:0], order[:0]
-
-    def near(i, j):
-        return np.bitwise_count(fp[i, 0] ^ fp[j, 0]).astype(np.int32) + np.bitwise_count(fp[i, 1] ^ fp[j, 1]) <= limit
-
-    for gap in (1, 2, 4, 8):
-        i = np.flatnonzero(key[gap:] == key[:-gap]) if n > gap else np.zeros(0, int)
-        i = i[label[i] != label[i + gap]]
-        i = i[near(i, i + gap)]
-        found.append((i, i + gap))
-        label = _labels(n, i, i + gap, label)
-
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    end = np.append(begin[1:], n)
-    bucket = np.repeat(np.arange(len(begin)), end - begin)
-    # The largest group of each bucket: groups never cross buckets, so a label names one.
-    size = np.bincount(label, minlength=n)
-    top = np.lexsort((np.arange(n), -size[label], bucket))
-    largest = label[top[begin]]
-    minor = np.flatnonzero(label != largest[bucket])
-    width = (end - begin)[bucket[minor]]
-    start = 0
-    while start < len(minor):
-        stop = max(start + 1, int(np.searchsorted(np.cumsum(width[start:]), block, "right")) + start)
-        rows, w = minor[start:stop], width[start:stop]
-        i = np.repeat(rows, w)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[bucket[rows]], w)
-        ok = label[i] != label[j]
-        i, j = i[ok], j[ok]
-        ok = near(i, j)
-        i, j = i[ok], j[ok]
-        if len(i):
-            # One pair for each two groups is enough.
-            pair = np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])])
-            _, at = np.unique(pair, axis=1, return_index=True)
-            i, j = i[at], j[at]
-            found.append((i, j))
-            label = _labels(n, i, j, label)
-        start = stop
-    i, j = (np.concatenate(x) for x in zip(*found))
-    return order[i], order[j]
+from .forest import Forest
 
 
 def _fingerprinted(docs: DataFrame) -> DataFrame:
@@ -95,36 +25,9 @@ def _fingerprinted(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, node long, f0 long, f1 long, n_words long")
 
 
-def forest_edges(nodes: DataFrame, limit: int, reach: int, target: float) -> DataFrame:
-    """Edges (a, b) between nodes (node, f0, f1) within limit bits of each other."""
-    count = nodes.count()
-    depth, how_many = simhash.tries(count, reach, target)
 
-    def spread(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 20_000):
-                part = batch.slice(lo, 20_000)
-                node, f0, f1 = (part.column(k) for k in range(3))
-                fp = np.stack([f0.to_numpy().view(np.uint64), f1.to_numpy().view(np.uint64)], axis=1)
-                for key, _ in simhash.prefixes(fp, depth, how_many):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), node, f0, f1], ["key", "node", "f0", "f1"])
-
-    def match(batches):
-        parts = list(batches)
-        if not parts or not sum(p.num_rows for p in parts):
-            return
-        key, node, f0, f1 = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(4))
-        fp = np.stack([f0.view(np.uint64), f1.view(np.uint64)], axis=1)
-        i, j = bucket_edges(key, fp[:, 0], fp, limit)
-        if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
-
-    tasks = max(1, -(-count * how_many // ROWS_PER_TASK))
-    spread_out = nodes.select("node", "f0", "f1").mapInArrow(spread, "key long, node long, f0 long, f1 long")
-    return spread_out.repartition(tasks, "key").mapInArrow(match, "a long, b long")
-
-
-def groups(docs: DataFrame, limit: int = 24, reach: int = 16, target: float = 0.95) -> DataFrame:
+
+def groups(docs: DataFrame, limit: int = 24, reach: int = 20, target: float = 0.95) -> DataFrame:
     """(doc_id, node, group_id, kept) for every row of docs (doc_id, text): which group of near duplicates it is in, and whether it stays.
 
     Two texts are near duplicates if at most limit of the 128 bits of their SimHash differ (24: a cosine of about
@@ -139,7 +42,7 @@ def groups(docs: DataFrame, limit: int = 24, reach: int = 16, target: float = 0.
     """
     base = cut(_fingerprinted(docs), "fingerprints")
     nodes = cut(base.where("n_words > 0").groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")), "nodes")
-    label = components(forest_edges(nodes, limit, reach, target))
+    label = components(Forest(nodes, limit, reach, target, occupancy=16).edges())
     placed = base.select("doc_id", "node").join(label, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("g"))
     # The least of a group is found by a partial aggregate, so that a huge group isn't gathered in one task.
     best = placed.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")).alias("m"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, near_dedup, packing, sharding, warc
+from . import langid, line_dedup, near_dedup, packing, sharding, warc
 
 
 def _table(spark, sf_dir, name):
@@ -17,6 +17,10 @@ def op3_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark, sf_dir):
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark, sf_dir):
     return warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
 
@@ -29,5 +33,5 @@ def op9_langid(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing, op5_warc, op6_simhash, op9_langid)}
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing, op4_lines, op5_warc, op6_simhash, op9_langid)}
 ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE_SQL}

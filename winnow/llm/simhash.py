@@ -133,15 +133,10 @@ def tries(nodes: int, reach: int, target: float, occupancy: float = 4.0) -> tupl
 
 
 def prefixes(fp: np.ndarray, depth: int, how_many: int, seed: int = 5):
-    """For each trie, (key, rest): the number of the trie over depth permuted bits, and the 63 bits below them to order a bucket by."""
+    """For each trie the keys of its buckets: the number of the trie above depth permuted bits."""
     rng = np.random.default_rng(seed)
     for t in range(how_many):
-        order = rng.permutation(BITS)
-
-        def gather(positions):
-            out = np.zeros(len(fp), np.uint64)
-            for p in positions:
-                out = (out << np.uint64(1)) | ((fp[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1))
-            return out
-
-        yield gather(order[:depth]) | (np.uint64(t) << np.uint64(depth)), gather(order[depth : depth + 63])
+        out = np.full(len(fp), t, np.uint64)
+        for p in rng.permutation(BITS)[:depth]:
+            out = (out << np.uint64(1)) | ((fp[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1))
+        yield out
