@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, near_dedup, packing, sharding, warc
+from . import digest, langid, line_dedup, near_dedup, packing, sharding, warc
 
 
 def _table(spark, sf_dir, name):
@@ -33,5 +33,9 @@ def op9_langid(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing, op4_lines, op5_warc, op6_simhash, op9_langid)}
+def op10_digest(spark, sf_dir):
+    return digest.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing, op4_lines, op5_warc, op6_simhash, op9_langid, op10_digest)}
 ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE_SQL}
