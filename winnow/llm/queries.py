@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import digest, langid, line_dedup, near_dedup, packing, sharding, warc
+from . import digest, langid, line_dedup, near_dedup, packing, pieces, sharding, warc
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pieces(spark, sf_dir):
+    return pieces.decode(pieces.encode(_table(spark, sf_dir, "documents")))
+
+
 def op2_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op10_digest(spark, sf_dir):
     return digest.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_packing, op4_lines, op5_warc, op6_simhash, op9_langid, op10_digest)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_sharding, op3_packing, op4_lines, op5_warc, op6_simhash, op9_langid, op10_digest)}
 ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE_SQL}
