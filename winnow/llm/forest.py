@@ -15,17 +15,66 @@ def _distance(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[i, 0] ^ fp[j, 0]).astype(np.int32) + np.bitwise_count(fp[i, 1] ^ fp[j, 1])
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The labels of n rows after joining the rows a and b: the least row of each group."""
-    while len(a):
-        low = np.minimum(label[a], label[b])
+def _distance(fp: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs (i, j) are within limit bits; the second half is looked at only where the first allows it."""
+    half = np.bitwise_count(fp[i, 0] ^ fp[j, 0])
+    out = half <= limit
+    at = np.flatnonzero(out)
+    out[at] = half[at].astype(np.int16) + np.bitwise_count(fp[i[at], 1] ^ fp[j[at], 1]) <= limit
+    return out
+
+
+def merged(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pair for each two labels that the pairs (i, j) join, and the labels after joining: the least row of each group."""
+    low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+    _, at = np.unique(low.astype(np.int64) * len(label) + high, return_index=True)
+    i, j = i[at], j[at]
+    label = label.copy()
+    while len(i):
+        low = np.minimum(label[i], label[j])
         before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
         label = label[label]
         if (label == before).all():
             break
-    return label
+    return i, j, label
+
+
+def _later_pairs(size: np.ndarray, first: np.ndarray, block: int):
+    """Blocks of pairs of positions (i, j), j before i in i's bucket, for every i that is the first[bucket]-th of its bucket or later.
+
+    size: rows of each bucket, the buckets one after the other. About block pairs come at a time.
+    """
+    begin = np.cumsum(size) - size
+    bucket = np.repeat(np.arange(len(size)), size)
+    nth = np.arange(len(bucket)) - begin[bucket]
+    rows = np.flatnonzero((nth >= first[bucket]) & (nth > 0))
+    width = nth[rows]
+    total, start = np.cumsum(width), 0
+    while start < len(rows):
+        stop = max(start + 1, int(np.searchsorted(total, block + (total[start - 1] if start else 0), "right")))
+        r, w = rows[start:stop], width[start:stop]
+        i = np.repeat(r, w)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[bucket[r]], w)
+        start = stop
+
+
+def _largest_first(key: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of rows by key with the rows of each key's largest label first, the size of each key's bucket, and of that label in it."""
+    order = np.lexsort((label, key))
+    k, g = key[order], label[order]
+    new_key = np.concatenate(([True], k[1:] != k[:-1]))
+    new_run = new_key | np.concatenate(([True], g[1:] != g[:-1]))
+    run = np.flatnonzero(new_run)
+    length = np.diff(np.append(run, len(k)))
+    bucket_of_run = np.cumsum(new_key)[run] - 1
+    top = np.lexsort((-length, bucket_of_run))
+    head = top[np.concatenate(([True], bucket_of_run[top][1:] != bucket_of_run[top][:-1]))]
+    is_head = np.zeros(len(run), bool)
+    is_head[head] = True
+    again = np.lexsort((~np.repeat(is_head, length), np.cumsum(new_key)))
+    return order[again], np.diff(np.append(np.flatnonzero(new_key), len(k))), length[head]
 
 
 def bucket_edges(key: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
@@ -34,84 +83,46 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 <<
     Within a bucket, rows are put in the order of further bits, where those with the deepest common prefixes are
     neighbours. Neighbours are verified first, which joins a group of copies in linear time however dense it is.
     The climb to the bucket itself then tries every pair that is not joined yet: rows outside a bucket's largest
-    group against all rows of the bucket. No pair is left out, and none inside a group is tried twice.
+    group against the rows before them. No pair is left out, and none inside the largest group is tried twice.
     """
     order = np.lexsort((fp[:, 0], key))
     key, fp = key[order], fp[order]
     n = len(key)
-    label, found = np.arange(n), []
+    label, found = np.arange(n), [(order[:0], order[:0])]
     if n < 2:
-        return order[:0], order[:0]
-
-    def near(i, j):
-        return _distance(fp, i, j) <= limit
-
+        return found[0]
     for gap in (1, 2, 4, 8):
-        i = np.flatnonzero(key[gap:] == key[:-gap]) if n > gap else np.zeros(0, int)
+        i = np.flatnonzero(key[gap:] == key[:-gap]) if n > gap else order[:0]
         i = i[label[i] != label[i + gap]]
-        i = i[near(i, i + gap)]
-        found.append((i, i + gap))
-        label = _labels(n, i, i + gap, label)
-
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    end = np.append(begin[1:], n)
-    bucket = np.repeat(np.arange(len(begin)), end - begin)
-    # The largest group of each bucket: groups never cross buckets, so a label names one.
-    size = np.bincount(label, minlength=n)
-    top = np.lexsort((np.arange(n), -size[label], bucket))
-    largest = label[top[begin]]
-    minor = np.flatnonzero(label != largest[bucket])
-    width = (end - begin)[bucket[minor]]
-    total, start = np.cumsum(width), 0
-    while start < len(minor):
-        stop = max(start + 1, int(np.searchsorted(total, block + (total[start - 1] if start else 0), "right")))
-        rows, w = minor[start:stop], width[start:stop]
-        i = np.repeat(rows, w)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[bucket[rows]], w)
-        ok = label[i] != label[j]
+        i = i[_distance(fp, i, i + gap, limit)]
+        i, j, label = merged(i, i + gap, label)
+        found.append((i, j))
+    arranged, size, head = _largest_first(key, label)
+    for i, j in _later_pairs(size, head, block):
+        i, j = arranged[i], arranged[j]
+        ok = _distance(fp, i, j, limit)
         i, j = i[ok], j[ok]
-        ok = near(i, j)
-        i, j = i[ok], j[ok]
-        if len(i):
-            # One pair for each two groups is enough.
-            pair = np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])])
-            _, at = np.unique(pair, axis=1, return_index=True)
-            i, j = i[at], j[at]
+        ok = label[i] != label[j]
+        if ok.any():
+            i, j, label = merged(i[ok], j[ok], label)
             found.append((i, j))
-            label = _labels(n, i, j, label)
-        start = stop
     i, j = (np.concatenate(x) for x in zip(*found))
     return order[i], order[j]
 
 
 def cross_pairs(key: np.ndarray, label: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of rows (i, j) of equal key and different label within limit bits; rows of a bucket's largest label are not paired with each other."""
-    order = np.lexsort((label, key))
-    key, label, fp = key[order], label[order], fp[order]
-    n = len(key)
-    if n < 2:
-        return order[:0], order[:0]
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    bucket = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
-    run = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (label[1:] != label[:-1]))))
-    length = np.diff(np.append(run, n))
-    top = np.lexsort((-length, bucket[run]))
-    longest = run[top[np.searchsorted(bucket[run][top], np.arange(len(begin)))]]
-    minor = np.flatnonzero(label != label[longest][bucket])
-    width = np.diff(np.append(begin, n))[bucket[minor]]
-    total, start, found = np.cumsum(width), 0, [(order[:0], order[:0])]
-    while start < len(minor):
-        stop = max(start + 1, int(np.searchsorted(total, block + (total[start - 1] if start else 0), "right")))
-        rows, w = minor[start:stop], width[start:stop]
-        i = np.repeat(rows, w)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + np.repeat(begin[bucket[rows]], w)
-        ok = label[i] != label[j]
-        i, j = i[ok], j[ok]
-        ok = _distance(fp, i, j) <= limit
-        found.append((i[ok], j[ok]))
-        start = stop
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if len(key) > 1:
+        arranged, size, head = _largest_first(key, label)
+        for i, j in _later_pairs(size, head, block):
+            i, j = arranged[i], arranged[j]
+            ok = label[i] != label[j]
+            i, j = i[ok], j[ok]
+            ok = _distance(fp, i, j, limit)
+            found.append((i[ok], j[ok]))
     i, j = (np.concatenate(x) for x in zip(*found))
-    return order[i], order[j]
+    return i, j
 
 
 class Forest:

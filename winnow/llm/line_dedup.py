@@ -15,9 +15,16 @@ MIN_CHARS, MIN_WORDS = 20, 5
 _NO_ID = -(2**63)
 
 
-def normal(line):
-    """A line as it is compared: lower case, runs of anything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def _worded(batches):
+    """(node, words) of (node, text): each word as one of the 53,248 characters that take three bytes, below the surrogates."""
+    for batch in batches:
+        for part in simhash.chunks(batch, "text"):
+            data, offsets = simhash.buffers(part.column(1))
+            _, h, first = simhash.words(data, offsets)
+            c = (h % np.uint64(0xD000)).astype(np.uint32) + 0x800
+            out = np.stack([0xE0 | (c >> 12), 0x80 | ((c >> 6) & 63), 0x80 | (c & 63)], axis=1).astype(np.uint8)
+            text = pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer((3 * first).astype(np.int64)), pa.py_buffer(out.tobytes()))
+            yield pa.RecordBatch.from_arrays([part.column(0), text.cast(pa.string())], ["node", "words"])
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -51,7 +58,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "doc long, text_key long, line_no int, node long, f0 long, f1 long, n_words int")
 
 
-def line_groups(docs: DataFrame, similarity: float = 0.9, limit: int = 24, reach: int = 16, target: float = 0.92) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, similarity: float = 0.85, limit: int = 24, reach: int = 16, target: float = 0.92) -> tuple[DataFrame, DataFrame]:
     """The table of lines (see _lines) and (node, label) of those nodes that stand in a group of several.
 
     Nodes within limit bits are first joined by as few pairs as it takes, and these verified. Where all of a
@@ -63,18 +70,18 @@ def line_groups(docs: DataFrame, similarity: float = 0.9, limit: int = 24, reach
     forest = Forest(nodes, limit, reach, target, occupancy=64)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_key"), F.col("text").cast("string").alias("text"))
 
-    def text_of(wanted: DataFrame) -> DataFrame:
-        """(node, line): the normalised text, fetched from one document that has it."""
+    def words_of(wanted: DataFrame) -> DataFrame:
+        """(node, words): the line as one character for each word, fetched from one document that has it."""
         where = nodes.join(wanted, "node", "left_semi").select("node", "at.*").groupBy("doc", "text_key").agg(F.collect_list(F.struct("line_no", "node")).alias("want"))
         found = keyed.join(where, ["doc", "text_key"]).withColumn("parts", F.split("text", "\n")).select("parts", F.explode("want").alias("w"))
-        return found.select(F.col("w.node").alias("node"), normal(F.element_at("parts", F.col("w.line_no") + 1)).alias("line")).dropDuplicates(["node"])
+        return found.select(F.col("w.node").alias("node"), F.element_at("parts", F.col("w.line_no") + 1).alias("text")).mapInArrow(_worded, "node long, words string")
 
     close = cut(forest.edges(), "close")
-    text = cut(text_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "close-lines")
+    words = cut(words_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct()).dropDuplicates(["node"]), "close-lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
         longest = F.greatest(F.length("x"), F.length("y"))
-        both = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b").withColumn("most", F.floor((1 - similarity) * longest).cast("int"))
+        both = pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b").withColumn("most", F.floor((1 - similarity) * longest).cast("int"))
         # With a limit the distance is found in a band of the table; beyond the limit it is -1.
         return both.where(F.expr("abs(length(x) - length(y)) <= most")).where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
 
@@ -113,8 +120,8 @@ def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for every document of docs (doc_id, text), repeated lines removed.
 
     Lines of at least MIN_CHARS bytes are compared in lower case and without punctuation. Lines with the same words
-    are repeats. Lines of MIN_WORDS words or more are also repeats if their edit similarity (1 - Levenshtein distance
-    / longer length) is at least similarity and at most limit bits of their SimHash differ; candidates share one of
+    are repeats. Lines of MIN_WORDS words or more are also repeats if their edit similarity over words (1 - Levenshtein
+    distance / longer line, both counted in words) is at least similarity and at most limit bits of their SimHash differ; candidates share one of
     several blocks of its bits, as wide as the number of distinct lines calls for and as many as find a pair reach
     bits apart with chance target. Groups are connected, and the occurrence with the least (doc_id, hash of the text, line number) stays (null ids first).
 
