@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest, langid, line_dedup, near_dedup, packing, pieces, sharding, warc
+from . import digest, html_crf, langid, line_dedup, near_dedup, packing, pieces, sharding, vectors, warc
 
 
 def _table(spark, sf_dir, name):
@@ -33,6 +33,14 @@ def op6_simhash(spark, sf_dir):
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_vectors(spark, sf_dir):
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_html(spark, sf_dir):
+    return html_crf.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_langid(spark, sf_dir):
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -41,5 +49,5 @@ def op10_digest(spark, sf_dir):
     return digest.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pieces, op2_sharding, op3_packing, op4_lines, op5_warc, op6_simhash, op9_langid, op10_digest)}
+QUERIES = {f.__name__: f for f in (op1_pieces, op2_sharding, op3_packing, op4_lines, op5_warc, op6_simhash, op7_vectors, op8_html, op9_langid, op10_digest)}
 ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE_SQL}
