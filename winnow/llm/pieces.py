@@ -29,6 +29,7 @@ NARROW = 1024
 #: Rank of pieces that are merged last; ranks and times share a long, so both stay under 2^20.
 LAST = 1_000_000
 NEVER = (1 << 62) - 1
+SEGMENTS_PER_TASK = 10_000
 
 
 @dataclass
@@ -88,15 +89,24 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(rank, ids, pieces, base)
 
 
+def packed(spine: list[tuple[int, int, int]]) -> list[int]:
+    """Each node of a spine in 64 bits: length - 1 (4), time + 1 (20), time (20) and rank (20) at which it is used up, as a signed long."""
+    out = []
+    for length, time, until in spine:
+        x = ((length - 1) << 60) | ((time + 1) << 40) | min(until, (1 << 40) - 1)
+        out.append(x - (1 << 64) if x >= 1 << 63 else x)
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def piece_rows(path: str = MODEL) -> list[tuple]:
-    """(piece, id, rank, whole, left, right) of every normal piece; whole: merging its characters gives it."""
+    """(piece, id, rank, whole, left, right) of every normal piece; whole: merging its characters gives it; the spines are packed."""
     v = load(path)
     out = []
     for p, r in v.rank.items():
         nodes = v.merged(p)
         whole = len(nodes) == 1
-        out.append((p, v.ids[p], r, whole, v.spine(nodes[0], 0) if whole else [], v.spine(nodes[0], 1) if whole else []))
+        out.append((p, v.ids[p], r, whole, packed(v.spine(nodes[0], 0)) if whole else [], packed(v.spine(nodes[0], 1)) if whole else []))
     return out
 
 
@@ -174,23 +184,28 @@ def encoded_segments(found: DataFrame, path: str = MODEL) -> DataFrame:
     v = load(path)
     rows = piece_rows(path)
     longest = max(len(r[0]) for r in rows)
-    spine = "array<struct<len:int,t:long,until:long>>"
-    table = spark.createDataFrame(rows, f"x string, id int, rank long, whole boolean, ls {spine}, rs {spine}")
+    if longest > 16:
+        raise ValueError("pieces of more than 16 characters don't fit the packed spines")
+    table = spark.createDataFrame(rows, "x string, id int, rank long, whole boolean, ls array<long>, rs array<long>")
+    # The edges of a segment stay in the partition that the segment is put in here, so the grouping shuffles nothing more.
+    tasks = max(1, -(-found.count() // SEGMENTS_PER_TASK))
     sub = (
-        found.select("h", "segment", F.explode(F.sequence(F.lit(0), F.length("segment") - 1)).alias("s"))
+        found.select("h", "segment")
+        .repartition(tasks, "h")
+        .select("h", "segment", F.explode(F.sequence(F.lit(0), F.length("segment") - 1)).alias("s"))
         .select("h", "segment", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(segment) - s))")).alias("l"))
         .select("h", "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(segment, s + 1, l)").alias("x"))
     )
     # The piece table has the size of the vocabulary, whatever the input; a single character that it lacks is an edge of byte pieces.
     edges = sub.join(F.broadcast(table), "x", "left").where("id is not null or e = s + 1")
-    as_bytes = f"transform(sequence(1, octet_length(x)), i -> cast(conv(substring(hex(encode(x, 'UTF-8')), 2 * i - 1, 2), 16, 10) as int) + {v.byte_base})"
-    alone = f"array(named_struct('len', 1, 't', -1L, 'until', {NEVER}L))"
+    alone = f"array({packed([(1, -1, NEVER)])[0]}L)"
     edges = edges.select(
         "h",
         "e",
         F.struct(
             "s",
-            F.expr(f"if(id is null, {as_bytes}, array(id))").alias("ids"),
+            F.coalesce("id", F.lit(-1)).alias("id"),
+            F.expr("if(id is null, x, null)").alias("lacking"),
             F.expr("coalesce(rank, -1L)").alias("rank"),
             F.expr("coalesce(whole, true)").alias("whole"),
             F.expr(f"coalesce(ls, {alone})").alias("ls"),
@@ -201,13 +216,17 @@ def encoded_segments(found: DataFrame, path: str = MODEL) -> DataFrame:
     ends = edges.groupBy("h", "e").agg(F.collect_list("edge").alias("into"))
     lattice = ends.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("e", "into"))).alias("byend"))
     # A merge c over the border x.s is early if both its halves stand on the spines there and it comes before either half is used up.
-    early = """exists(flatten(transform(slice(byend, x.s + 1, x.e - x.s), g -> g.into)), c -> c.s < x.s and c.rank >= 0 and
-        exists(element_at(acc, x.s).rs, a -> a.len = x.s - c.s and
-        exists(x.ls, b -> b.len = c.e - x.s and
-            shiftleft(greatest(c.rank, a.t, b.t), 20) + c.rank < a.until and shiftleft(greatest(c.rank, a.t, b.t), 20) + c.rank <= b.until)))"""
-    kept = f"""aggregate(byend, cast(array() as array<struct<s:int,ids:array<int>,rank:bigint,whole:boolean,ls:{spine},rs:{spine},e:int>>),
+    part = lambda v, shift, bits: f"(shiftrightunsigned({v}, {shift}) & {(1 << bits) - 1}L)"
+    when = f"shiftleft(greatest(c.rank, {part('a', 40, 20)} - 1, {part('b', 40, 20)} - 1), 20) + c.rank"
+    early = f"""exists(flatten(transform(slice(byend, x.s + 1, x.e - x.s), g -> g.into)), c -> c.s < x.s and c.rank >= 0 and
+        exists(element_at(acc, x.s).rs, a -> {part('a', 60, 4)} = x.s - c.s - 1 and
+        exists(x.ls, b -> {part('b', 60, 4)} = c.e - x.s - 1 and {when} < {part('a', 0, 40)} and {when} <= {part('b', 0, 40)})))"""
+    edge = "struct<s:int,id:int,lacking:string,rank:bigint,whole:boolean,ls:array<bigint>,rs:array<bigint>,e:int>"
+    kept = f"""aggregate(byend, cast(array() as array<{edge}>),
         (acc, g) -> concat(acc, slice(filter(g.into, x -> x.whole and (x.s = 0 or not {early})), 1, 1)))"""
-    traced = "aggregate(reverse(kept), named_struct('at', size(kept), 'ids', cast(array() as array<int>)), (p, x) -> if(x.e = p.at, named_struct('at', x.s, 'ids', concat(x.ids, p.ids)), p), p -> p.ids)"
+    as_bytes = f"transform(sequence(1, octet_length(x.lacking)), i -> cast(conv(substring(hex(encode(x.lacking, 'UTF-8')), 2 * i - 1, 2), 16, 10) as int) + {v.byte_base})"
+    traced = f"""aggregate(reverse(kept), named_struct('at', size(kept), 'ids', cast(array() as array<int>)),
+        (p, x) -> if(x.e = p.at, named_struct('at', x.s, 'ids', concat(if(x.id < 0, {as_bytes}, array(x.id)), p.ids)), p), p -> p.ids)"""
     return lattice.select("h", F.expr(kept).alias("kept")).select("h", F.expr(traced).alias("ids"))
 
 
