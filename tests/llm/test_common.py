@@ -20,17 +20,17 @@ def brute(pairs):
     return {x: find(x) for x in parent}
 
 
-@pytest.mark.parametrize("kind", ["random", "path", "star", "clique", "empty"])
-def test_components_agree_with_union_find(spark, kind):
+@pytest.mark.parametrize("kind,in_one_task", [("random", 0), ("path", 0), ("clique", 0), ("random", 10**6), ("star", 10**6), ("path", 10**6), ("empty", 10**6)])
+def test_components_agree_with_union_find(spark, kind, in_one_task):
     r = random.Random(7)
     pairs = {
         "random": [(r.randrange(300), r.randrange(300)) for _ in range(200)],
-        "path": [(i, i + 1) for i in range(40)],
+        "path": [(i, i + 1) for i in range(12)],
         "star": [(0, i) for i in range(1, 30)] + [(50, i) for i in range(20, 40)],
         "clique": [(i, j) for i in range(12) for j in range(i)],
         "empty": [],
     }[kind]
-    got = common.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    got = common.components(spark.createDataFrame(pairs, "a long, b long"), in_one_task).collect()
     want = {x: y for x, y in brute([p for p in pairs if p[0] != p[1]]).items()}
     assert len(got) == len({x.node for x in got})
     assert {x.node: x.label for x in got} == want

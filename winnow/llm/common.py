@@ -6,6 +6,8 @@ import functools
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,13 +61,42 @@ def words_in(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task joins into groups by itself: some 300 MB. More are joined by rounds of shuffles.
+EDGES_IN_ONE_TASK = 4_000_000
+
+
+def _in_one_task(batches):
+    """(node, label) of the edges (a, b) of all batches: labels fall to the least neighbour, and to their label's label, until none changes."""
+    parts = [np.stack([p.column(0).to_numpy(), p.column(1).to_numpy()]) for p in batches if p.num_rows]
+    if not parts:
+        return
+    nodes, at = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        if (label == before).all():
+            break
+    for lo in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[lo : lo + 100_000]), pa.array(nodes[label[lo : lo + 100_000]])], ["node", "label"])
+
+
+def components(edges: DataFrame, in_one_task: int = EDGES_IN_ONE_TASK) -> DataFrame:
     """(node, label) for every node of the edges (a, b), label being the least node of its connected group.
 
-    Alternates the large-star and small-star steps, whose number of rounds grows with the logarithm of the
-    longest path; every round is a table in the shared folder. Loops and repeated edges don't matter.
+    Few edges go to one task. Beyond in_one_task of them, large-star and small-star steps alternate, whose number of
+    rounds grows with the logarithm of the longest path; every round is a table in the shared folder. Both ways
+    give the same labels. Loops and repeated edges don't matter.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+    sum_now = total(now)
+    if sum_now[0] <= in_one_task:
+        return now.coalesce(1).mapInArrow(_in_one_task, "node long, label long")
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = Window.partitionBy("a")
@@ -84,10 +115,10 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         after = cut(small, "edges")
-        total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        same = total(now) == total(after)
+        sum_after = total(after)
+        same = sum_now == sum_after
         discard(now)
-        now = after
+        now, sum_now = after, sum_after
         if same:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

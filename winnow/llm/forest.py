@@ -62,7 +62,11 @@ def _later_pairs(size: np.ndarray, first: np.ndarray, block: int):
 
 def _largest_first(key: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of rows by key with the rows of each key's largest label first, the size of each key's bucket, and of that label in it."""
-    order = np.lexsort((label, key))
+    _, at = np.unique(label, return_inverse=True)
+    by_key = np.argsort(key, kind="stable")
+    bucket = np.empty(len(key), np.int64)
+    bucket[by_key] = np.cumsum(np.concatenate(([0], key[by_key][1:] != key[by_key][:-1])))
+    order = np.argsort(bucket * (len(key) + 1) + at)
     k, g = key[order], label[order]
     new_key = np.concatenate(([True], k[1:] != k[:-1]))
     new_run = new_key | np.concatenate(([True], g[1:] != g[:-1]))
@@ -73,7 +77,7 @@ def _largest_first(key: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.n
     head = top[np.concatenate(([True], bucket_of_run[top][1:] != bucket_of_run[top][:-1]))]
     is_head = np.zeros(len(run), bool)
     is_head[head] = True
-    again = np.lexsort((~np.repeat(is_head, length), np.cumsum(new_key)))
+    again = np.argsort(2 * np.cumsum(new_key) + ~np.repeat(is_head, length), kind="stable")
     return order[again], np.diff(np.append(np.flatnonzero(new_key), len(k))), length[head]
 
 
@@ -85,7 +89,8 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 <<
     The climb to the bucket itself then tries every pair that is not joined yet: rows outside a bucket's largest
     group against the rows before them. No pair is left out, and none inside the largest group is tried twice.
     """
-    order = np.lexsort((fp[:, 0], key))
+    room = np.uint64(63 - int(key.max(initial=0)).bit_length())
+    order = np.argsort((key.astype(np.uint64) << room) | (fp[:, 0] >> (np.uint64(64) - room)))
     key, fp = key[order], fp[order]
     n = len(key)
     label, found = np.arange(n), [(order[:0], order[:0])]
