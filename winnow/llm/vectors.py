@@ -44,9 +44,17 @@ def visited(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], count: int) ->
     return o1[np.arange(len(x))[:, None], i[best]].astype(np.int64) * len(books[1]) + o2[np.arange(len(x))[:, None], j[best]]
 
 
+def drawn(nodes: DataFrame, size: int, count: int) -> np.ndarray:
+    """size of the count vectors, those whose id has the least hash; thinned by hash first, so that no more than about twice as many are sent."""
+    h = nodes.select("v", F.xxhash64("node").alias("h"))
+    share = min(1.0, 2.0 * (size + 50) / max(1, count))
+    rows = h.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).orderBy("h").limit(size).collect()
+    return np.array([r.v for r in rows], np.float32)
+
+
 def codebooks(nodes: DataFrame, dim: int, size: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Two codebooks of size centres, by Lloyd's iterations over all vectors; they begin at the vectors with the least hash."""
-    start = np.array([r.v for r in nodes.select("v", "node").orderBy("node").limit(size).collect()], np.float32).reshape(-1, dim)
+    """Two codebooks of size centres, by Lloyd's iterations over all vectors; they begin at size of the vectors."""
+    start = drawn(nodes, size, nodes.count()).reshape(-1, dim)
     half = dim // 2
     books = [start[:, :half].copy(), start[:, half:].copy()]
     for _ in range(rounds):
@@ -140,8 +148,7 @@ def near_duplicates(table: DataFrame, least: float = 0.9, target: float = 0.95,
     if count > 1:
         size = max(1, min(count, math.ceil(math.sqrt(count / occupancy))))
         books = codebooks(nodes, dim, size)
-        drawn = np.array([r.v for r in nodes.select("v", F.xxhash64("node").alias("h")).orderBy("h").limit(sample).collect()], np.float32)
-        cells = cells_for(drawn, books, least, target)
+        cells = cells_for(drawn(nodes, sample, count), books, least, target)
 
         def spread(batches):
             for batch in batches:
