@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from . import simhash
 
-ROWS_PER_TASK = 400_000
+ROWS_PER_PART = 400_000
 
 
 def _distance(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -96,7 +96,7 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 <<
     label, found = np.arange(n), [(order[:0], order[:0])]
     if n < 2:
         return found[0]
-    for gap in (1, 2, 4, 8):
+    for gap in (1, 2):
         i = np.flatnonzero(key[gap:] == key[:-gap]) if n > gap else order[:0]
         i = i[label[i] != label[i + gap]]
         i = i[_distance(fp, i, i + gap, limit)]
@@ -142,39 +142,51 @@ class Forest:
         self.depth, self.tries = simhash.tries(self.count, reach, target, occupancy)
 
     def _spread(self, nodes: DataFrame, count: int) -> DataFrame:
+        """(part, rows): for each slice of nodes and each part of the keys, its rows as one binary value of 64-bit columns (key, node, f0, f1 and label, if there).
+
+        Some hundred thousand small rows travel as one value, which the JVM moves as it is.
+        """
         depth, how_many = self.depth, self.tries
-        extra = [c for c in nodes.columns if c not in ("node", "f0", "f1")]
+        parts = max(1, -(-count * how_many // ROWS_PER_PART))
 
         def run(batches):
             for batch in batches:
                 for lo in range(0, batch.num_rows, 20_000):
-                    part = batch.slice(lo, 20_000)
-                    fp = np.stack([part.column(k).to_numpy().view(np.uint64) for k in (1, 2)], axis=1)
-                    for key in simhash.prefixes(fp, depth, how_many):
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *part.columns], ["key", "node", "f0", "f1", *extra])
-
-        out = nodes.select("node", "f0", "f1", *extra).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "node", "f0", "f1", *extra)))
-        return out.repartition(max(1, -(-count * how_many // ROWS_PER_TASK)), "key")
-
-    def _matched(self, spread: DataFrame, with_label: bool) -> DataFrame:
+                    columns = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.slice(lo, 20_000).columns])
+                    fp = np.ascontiguousarray(columns[1:3].T)
+                    keys = list(simhash.prefixes(fp, depth, how_many))
+                    key = np.concatenate(keys)
+                    part = (simhash.mix(key) % np.uint64(parts)).astype(np.int32)
+                    order = np.argsort(part, kind="stable")
+                    row = order % len(fp)
+                    cut = np.searchsorted(part[order], np.arange(parts + 1))
+                    table = np.concatenate((key[order][None], columns[:, row]))
+                    full = np.flatnonzero(np.diff(cut))
+                    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([table[:, cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())], ["part", "rows"])
+
+        return nodes.mapInArrow(run, "part int, rows binary").repartition(parts, "part")
+
+    def _matched(self, spread: DataFrame, width: int) -> DataFrame:
         limit = self.limit
 
         def run(batches):
-            parts = list(batches)
-            if not sum(p.num_rows for p in parts):
-                return
-            key, node, f0, f1, *label = (np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(parts[0].num_columns))
-            fp = np.stack([f0.view(np.uint64), f1.view(np.uint64)], axis=1)
-            i, j = cross_pairs(key, label[0], fp, limit) if with_label else bucket_edges(key, fp, limit)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+            parts: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for part, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    parts.setdefault(part, []).append(np.frombuffer(rows.as_buffer(), np.uint64).reshape(width, -1))
+            for part in sorted(parts):
+                key, node, f0, f1, *label = np.concatenate(parts.pop(part), axis=1)
+                fp, node = np.stack([f0, f1], axis=1), node.view(np.int64)
+                i, j = cross_pairs(key, label[0], fp, limit) if label else bucket_edges(key, fp, limit)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
         return spread.mapInArrow(run, "a long, b long")
 
     def edges(self) -> DataFrame:
         """Edges (a, b), a < b, within limit bits: enough of them to join all such nodes into groups."""
-        return self._matched(self._spread(self.nodes.select("node", "f0", "f1"), self.count), False).distinct()
+        return self._matched(self._spread(self.nodes.select("node", "f0", "f1"), self.count), 4).distinct()
 
     def pairs_between(self, labelled: DataFrame) -> DataFrame:
         """All pairs (a, b), a < b, within limit bits among labelled (node, f0, f1, label) whose labels differ."""
-        return self._matched(self._spread(labelled.select("node", "f0", "f1", "label"), labelled.count()), True).distinct()
+        return self._matched(self._spread(labelled.select("node", "f0", "f1", "label"), labelled.count()), 5).distinct()

@@ -29,7 +29,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd multiplier and of its inverse modulo 2^64."""
-    size = 1 << max(16, (n - 1).bit_length())
+    size = max([1 << max(16, (n - 1).bit_length()), *_powers])
     if size not in _powers:
         _powers.clear()
         pair = []
