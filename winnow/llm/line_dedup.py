@@ -66,13 +66,13 @@ def line_groups(docs: DataFrame, similarity: float = 0.85, limit: int = 24, reac
     between their parts verified. So a crowd of copies costs no more than its size, and no candidate is left out.
     """
     lines = cut(_lines(docs), "lines")
-    nodes = cut(lines.where(f"n_words >= {MIN_WORDS}").groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.min(F.struct("doc", "text_key", "line_no")).alias("at")), "nodes")
-    forest = Forest(nodes, limit, reach, target, occupancy=64)
+    nodes = cut(lines.where(f"n_words >= {MIN_WORDS}").groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), *[F.first(c).alias(c) for c in ("doc", "text_key", "line_no")]), "nodes")
+    forest = Forest(nodes, limit, reach, target, occupancy=32)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_key"), F.col("text").cast("string").alias("text"))
 
     def words_of(wanted: DataFrame) -> DataFrame:
         """(node, words): the line as one character for each word, fetched from one document that has it."""
-        where = nodes.join(wanted, "node", "left_semi").select("node", "at.*").groupBy("doc", "text_key").agg(F.collect_list(F.struct("line_no", "node")).alias("want"))
+        where = nodes.join(wanted, "node", "left_semi").select("node", "doc", "text_key", "line_no").groupBy("doc", "text_key").agg(F.collect_list(F.struct("line_no", "node")).alias("want"))
         found = keyed.join(where, ["doc", "text_key"]).withColumn("parts", F.split("text", "\n")).select("parts", F.explode("want").alias("w"))
         return found.select(F.col("w.node").alias("node"), F.element_at("parts", F.col("w.line_no") + 1).alias("text")).mapInArrow(_worded, "node long, words string")
 
