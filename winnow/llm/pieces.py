@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import simhash
 from .common import cut
@@ -30,6 +31,8 @@ NARROW = 1024
 LAST = 1_000_000
 NEVER = (1 << 62) - 1
 SEGMENTS_PER_TASK = 10_000
+#: Edges of a segment up to which its positions are grouped inside the row.
+SHORT = 400
 
 
 @dataclass
@@ -163,7 +166,7 @@ def distinct_segments(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches):
         seen = np.zeros(0, np.uint64)
         for batch in batches:
-            for part in simhash.chunks(batch, "text"):
+            for part in simhash.chunks(batch, "text", 1 << 20):
                 start, end, h, _, whole = segments([t or "" for t in part.column(0).to_pylist()], joint)
                 h, at = np.unique(h, return_index=True)
                 if len(seen):
@@ -201,8 +204,8 @@ def encoded_segments(found: DataFrame, path: str = MODEL) -> DataFrame:
     alone = f"array({packed([(1, -1, NEVER)])[0]}L)"
     edges = edges.select(
         "h",
-        "e",
         F.struct(
+            "e",
             "s",
             F.coalesce("id", F.lit(-1)).alias("id"),
             F.expr("if(id is null, x, null)").alias("lacking"),
@@ -210,20 +213,24 @@ def encoded_segments(found: DataFrame, path: str = MODEL) -> DataFrame:
             F.expr("coalesce(whole, true)").alias("whole"),
             F.expr(f"coalesce(ls, {alone})").alias("ls"),
             F.expr(f"coalesce(rs, {alone})").alias("rs"),
-            "e",
         ).alias("edge"),
     )
-    ends = edges.groupBy("h", "e").agg(F.collect_list("edge").alias("into"))
-    lattice = ends.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("e", "into"))).alias("byend"))
+    lattice = edges.groupBy("h").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    # The edges into each position, in the order of positions; of those into one position the longest come first.
+    byend = """transform(sequence(1, element_at(edges, -1).e), p -> struct(p as e, filter(edges, x -> x.e = p) as into))"""
+    short = lattice.where(f"size(edges) <= {SHORT}").select("h", F.expr(byend).alias("byend"))
+    # Where the filter for every position would cost too much, positions are grouped relationally.
+    ends = lattice.where(f"size(edges) > {SHORT}").select("h", F.explode("edges").alias("x")).groupBy("h", F.col("x.e").alias("e")).agg(F.array_sort(F.collect_list("x")).alias("into"))
+    lattice = short.unionByName(ends.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("e", "into"))).alias("byend")))
     # A merge c over the border x.s is early if both its halves stand on the spines there and it comes before either half is used up.
     part = lambda v, shift, bits: f"(shiftrightunsigned({v}, {shift}) & {(1 << bits) - 1}L)"
     when = f"shiftleft(greatest(c.rank, {part('a', 40, 20)} - 1, {part('b', 40, 20)} - 1), 20) + c.rank"
     early = f"""exists(flatten(transform(slice(byend, x.s + 1, x.e - x.s), g -> g.into)), c -> c.s < x.s and c.rank >= 0 and
         exists(element_at(acc, x.s).rs, a -> {part('a', 60, 4)} = x.s - c.s - 1 and
         exists(x.ls, b -> {part('b', 60, 4)} = c.e - x.s - 1 and {when} < {part('a', 0, 40)} and {when} <= {part('b', 0, 40)})))"""
-    edge = "struct<s:int,id:int,lacking:string,rank:bigint,whole:boolean,ls:array<bigint>,rs:array<bigint>,e:int>"
+    edge = "struct<e:int,s:int,id:int,lacking:string,rank:bigint,whole:boolean,ls:array<bigint>,rs:array<bigint>>"
     kept = f"""aggregate(byend, cast(array() as array<{edge}>),
-        (acc, g) -> concat(acc, slice(filter(g.into, x -> x.whole and (x.s = 0 or not {early})), 1, 1)))"""
+        (acc, g) -> concat(acc, array(aggregate(g.into, cast(null as {edge}), (found, x) -> if(found is null and x.whole and (x.s = 0 or not {early}), x, found)))))"""
     as_bytes = f"transform(sequence(1, octet_length(x.lacking)), i -> cast(conv(substring(hex(encode(x.lacking, 'UTF-8')), 2 * i - 1, 2), 16, 10) as int) + {v.byte_base})"
     traced = f"""aggregate(reverse(kept), named_struct('at', size(kept), 'ids', cast(array() as array<int>)),
         (p, x) -> if(x.e = p.at, named_struct('at', x.s, 'ids', concat(if(x.id < 0, {as_bytes}, array(x.id)), p.ids)), p), p -> p.ids)"""
@@ -255,8 +262,8 @@ class _Lookup:
         return pa.ListArray.from_arrays(pa.array(np.concatenate((begin, [len(out)]))[first].astype(np.int32)), pa.array(out))
 
 
-def encode(docs: DataFrame, path: str = MODEL, broadcast_bytes: int = 192 << 20, block_bytes: int = 64 << 20) -> DataFrame:
-    """(doc_id, ids, n_ids) for every row of docs (doc_id, text): the ids that the model's merging gives.
+def encode(docs: DataFrame, path: str = MODEL, decoded: bool = False, broadcast_bytes: int = 192 << 20, block_bytes: int = 64 << 20) -> DataFrame:
+    """(doc_id, ids, n_ids) for every row of docs (doc_id, text): the ids that the model's merging gives; and, if asked for, decoded, the text that the ids give.
 
     The distinct segments are encoded relationally (encoded_segments). If their ids take at most broadcast_bytes, they
     are sent to all tasks; otherwise texts are put in blocks of about block_bytes by hash, and each block is grouped
@@ -273,12 +280,13 @@ def encode(docs: DataFrame, path: str = MODEL, broadcast_bytes: int = 192 << 20,
     if found.where("segment <> other").limit(1).count():
         raise ValueError("two segments have the same hash; change the seed of the hash")
     table = cut(encoded_segments(found.drop("other"), path), "encoded")
-    schema = "doc_id long, ids array<int>, n_ids int"
-    names = ["doc_id", "ids", "n_ids"]
+    schema = "doc_id long, ids array<int>, n_ids int" + ", decoded string" * decoded
+    names = ["doc_id", "ids", "n_ids"] + ["decoded"] * decoded
+    decoder = _decoder(path) if decoded else None
 
     def rows(lookup, part):
         ids = lookup.encode([t or "" for t in part.column("text").to_pylist()], joint)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pc.list_value_length(ids)], names)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pc.list_value_length(ids)] + ([decoder(ids)] if decoder else []), names)
 
     need = table.agg(F.coalesce(F.sum(16 + 4 * F.size("ids")), F.lit(0))).first()[0]
     if need <= broadcast_bytes:
@@ -286,7 +294,7 @@ def encode(docs: DataFrame, path: str = MODEL, broadcast_bytes: int = 192 << 20,
 
         def run(batches):
             for batch in batches:
-                for part in simhash.chunks(batch, "text"):
+                for part in simhash.chunks(batch, "text", 1 << 20):
                     yield rows(shared.value, part)
 
         return plain.mapInArrow(run, schema)
@@ -296,7 +304,7 @@ def encode(docs: DataFrame, path: str = MODEL, broadcast_bytes: int = 192 << 20,
 
     def hashes(batches):
         for batch in batches:
-            for part in simhash.chunks(batch, "text"):
+            for part in simhash.chunks(batch, "text", 1 << 20):
                 texts, block = [t or "" for t in part.column("text").to_pylist()], part.column("block").to_numpy()
                 _, _, h, first, _ = segments(texts, joint)
                 owner = np.repeat(block, np.diff(first))
@@ -307,18 +315,14 @@ def encode(docs: DataFrame, path: str = MODEL, broadcast_bytes: int = 192 << 20,
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         lookup = _Lookup.of(right)
-        parts = [rows(lookup, part) for batch in left.select(["doc_id", "text"]).to_batches() for part in simhash.chunks(batch, "text")]
-        return pa.Table.from_batches(parts, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int32())]))
+        parts = [rows(lookup, part) for batch in left.select(["doc_id", "text"]).to_batches() for part in simhash.chunks(batch, "text", 1 << 20)]
+        return pa.Table.from_batches(parts, pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_ids", pa.int32()), ("decoded", pa.string())][: len(names)]))
 
     return blocked.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(together, schema)
 
 
-def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """encoded, all columns, with decoded: the text of the ids (array of int), without the space in front.
-
-    Byte pieces are joined to characters, and bytes that form none become U+FFFD. Edge cases: null or no ids give an
-    empty text; control pieces have no text; an id outside the vocabulary is an error.
-    """
+def _decoder(path: str):
+    """A function from id lists to texts."""
     pieces = load(path).pieces
     flat = np.frombuffer(b"".join(pieces), np.uint8)
     size = np.array([len(p) for p in pieces], np.int64)
@@ -342,6 +346,17 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
         except pa.ArrowInvalid:
             return pa.array([b.decode("utf-8", "replace") for b in out.to_pylist()], pa.string())
 
+    return text_of
+
+
+def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
+    """encoded, all columns, with decoded: the text of the ids (array of int), without the space in front.
+
+    Byte pieces are joined to characters, and bytes that form none become U+FFFD. Edge cases: null or no ids give an
+    empty text; control pieces have no text; an id outside the vocabulary is an error.
+    """
+    text_of = _decoder(path)
+
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index("ids")
@@ -349,6 +364,4 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
                 part = batch.slice(lo, 1000)
                 yield pa.RecordBatch.from_arrays([*part.columns, text_of(part.column(at))], [*part.schema.names, "decoded"])
 
-    from pyspark.sql import types as T
-
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

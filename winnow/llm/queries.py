@@ -10,7 +10,7 @@ def _table(spark, sf_dir, name):
 
 
 def op1_pieces(spark, sf_dir):
-    return pieces.decode(pieces.encode(_table(spark, sf_dir, "documents")))
+    return pieces.encode(_table(spark, sf_dir, "documents"), decoded=True)
 
 
 def op2_sharding(spark, sf_dir):
