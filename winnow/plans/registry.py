@@ -11,8 +11,10 @@ from ..operators.route import classify, first_wins, records, route
 from ..sources.staging import staged
 from .compile import EFFECTS, Compiled, compile_rules
 from .corpus import corpus
-from .oracle import CLASSIFIED, CLEANED, JUDGED, RECORDS, using
+from ..functions.syntax import UNSUPPORTED
+from .oracle import CLASSIFIED, CLEANED, JUDGED, RECORDS, listed, using
 
+UNSUPPORTED_SQL = listed(UNSUPPORTED)
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -160,3 +162,5 @@ def compile_cardinalities(spark, sf_dir):
 
 
 __all__ = ["QUERIES", "ORACLES", "REASONS"]
+
+from . import more_queries  # noqa: E402, F401
