@@ -31,8 +31,8 @@ NARROW = 1024
 LAST = 1_000_000
 NEVER = (1 << 62) - 1
 SEGMENTS_PER_TASK = 10_000
-#: Edges of a segment up to which its positions are grouped inside the row.
-SHORT = 400
+#: Characters of a segment up to which its positions are grouped inside the row.
+SHORT = 100
 
 
 @dataclass
@@ -190,21 +190,20 @@ def encoded_segments(found: DataFrame, path: str = MODEL) -> DataFrame:
     if longest > 16:
         raise ValueError("pieces of more than 16 characters don't fit the packed spines")
     table = spark.createDataFrame(rows, "x string, id int, rank long, whole boolean, ls array<long>, rs array<long>")
-    # The edges of a segment stay in the partition that the segment is put in here, so the grouping shuffles nothing more.
-    tasks = max(1, -(-found.count() // SEGMENTS_PER_TASK))
-    sub = (
-        found.select("h", "segment")
-        .repartition(tasks, "h")
-        .select("h", "segment", F.explode(F.sequence(F.lit(0), F.length("segment") - 1)).alias("s"))
-        .select("h", "segment", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(segment) - s))")).alias("l"))
-        .select("h", "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(segment, s + 1, l)").alias("x"))
-    )
-    # The piece table has the size of the vocabulary, whatever the input; a single character that it lacks is an edge of byte pieces.
-    edges = sub.join(F.broadcast(table), "x", "left").where("id is not null or e = s + 1")
     alone = f"array({packed([(1, -1, NEVER)])[0]}L)"
-    edges = edges.select(
-        "h",
-        F.struct(
+
+    def edges_of(some: DataFrame) -> DataFrame:
+        """(h, edges): every piece at every place of a segment, in the order of their ends, the longest first."""
+        # The edges of a segment stay in the partition that the segment is put in here, so the grouping shuffles nothing more.
+        sub = (
+            some.repartition(tasks, "h")
+            .select("h", "segment", F.explode(F.sequence(F.lit(0), F.length("segment") - 1)).alias("s"))
+            .select("h", "segment", "s", F.explode(F.expr(f"sequence(1, least({longest}, length(segment) - s))")).alias("l"))
+            .select("h", "s", (F.col("s") + F.col("l")).alias("e"), F.expr("substring(segment, s + 1, l)").alias("x"))
+        )
+        # The piece table has the size of the vocabulary, whatever the input; a single character that it lacks is an edge of byte pieces.
+        edges = sub.join(F.broadcast(table), "x", "left").where("id is not null or e = s + 1")
+        edge = F.struct(
             "e",
             "s",
             F.coalesce("id", F.lit(-1)).alias("id"),
@@ -213,14 +212,15 @@ def encoded_segments(found: DataFrame, path: str = MODEL) -> DataFrame:
             F.expr("coalesce(whole, true)").alias("whole"),
             F.expr(f"coalesce(ls, {alone})").alias("ls"),
             F.expr(f"coalesce(rs, {alone})").alias("rs"),
-        ).alias("edge"),
-    )
-    lattice = edges.groupBy("h").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    # The edges into each position, in the order of positions; of those into one position the longest come first.
-    byend = """transform(sequence(1, element_at(edges, -1).e), p -> struct(p as e, filter(edges, x -> x.e = p) as into))"""
-    short = lattice.where(f"size(edges) <= {SHORT}").select("h", F.expr(byend).alias("byend"))
-    # Where the filter for every position would cost too much, positions are grouped relationally.
-    ends = lattice.where(f"size(edges) > {SHORT}").select("h", F.explode("edges").alias("x")).groupBy("h", F.col("x.e").alias("e")).agg(F.array_sort(F.collect_list("x")).alias("into"))
+        )
+        return edges.select("h", edge.alias("edge")).groupBy("h").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+
+    tasks = max(1, -(-found.count() // SEGMENTS_PER_TASK))
+    found = found.select("h", "segment")
+    # The edges into each position, in the order of positions. Where a filter for every position would cost too much, positions are grouped relationally.
+    byend = "transform(sequence(1, element_at(edges, -1).e), p -> struct(p as e, filter(edges, x -> x.e = p) as into))"
+    short = edges_of(found.where(F.length("segment") <= SHORT)).select("h", F.expr(byend).alias("byend"))
+    ends = edges_of(found.where(F.length("segment") > SHORT)).select("h", F.explode("edges").alias("x")).groupBy("h", F.col("x.e").alias("e")).agg(F.array_sort(F.collect_list("x")).alias("into"))
     lattice = short.unionByName(ends.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("e", "into"))).alias("byend")))
     # A merge c over the border x.s is early if both its halves stand on the spines there and it comes before either half is used up.
     part = lambda v, shift, bits: f"(shiftrightunsigned({v}, {shift}) & {(1 << bits) - 1}L)"
