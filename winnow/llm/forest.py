@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from . import simhash
 
 ROWS_PER_PART = 400_000
+WIDE = 4096
 
 
 def _distance(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -86,8 +87,9 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 <<
 
     Within a bucket, rows are put in the order of further bits, where those with the deepest common prefixes are
     neighbours. Neighbours are verified first, which joins a group of copies in linear time however dense it is.
-    The climb to the bucket itself then tries every pair that is not joined yet: rows outside a bucket's largest
-    group against the rows before them. No pair is left out, and none inside the largest group is tried twice.
+    The climb to the bucket itself then compares all rows at every distance; in buckets of more than WIDE rows it
+    tries only what is not joined yet, rows outside the bucket's largest group against the rows before them, so that
+    a crowd of copies costs no more than its size. No pair that could join two groups is left out.
     """
     room = np.uint64(63 - int(key.max(initial=0)).bit_length())
     order = np.argsort((key.astype(np.uint64) << room) | (fp[:, 0] >> (np.uint64(64) - room)))
@@ -102,15 +104,46 @@ def bucket_edges(key: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 <<
         i = i[_distance(fp, i, i + gap, limit)]
         i, j, label = merged(i, i + gap, label)
         found.append((i, j))
-    arranged, size, head = _largest_first(key, label)
-    for i, j in _later_pairs(size, head, block):
-        i, j = arranged[i], arranged[j]
-        ok = _distance(fp, i, j, limit)
-        i, j = i[ok], j[ok]
-        ok = label[i] != label[j]
-        if ok.any():
-            i, j, label = merged(i[ok], j[ok], label)
+    # Buckets of moderate size, the largest first, so that those still wide enough for a gap are a prefix.
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(begin, n))
+    wide = size > WIDE
+    some = np.flatnonzero(~wide & (size > 1))
+    some = some[np.argsort(-size[some], kind="stable")]
+    rows = np.repeat(begin[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(int(size[some].sum()))
+    bucket, f0, f1 = np.repeat(np.arange(len(some)), size[some]), fp[rows, 0].copy(), fp[rows, 1].copy()
+    active = np.cumsum(np.bincount(size[some], minlength=WIDE + 2)[::-1] * np.arange(WIDE + 1, -1, -1))[::-1]
+    hits: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for gap in range(1, int(size[some].max(initial=0))):
+        m = int(active[gap + 1])
+        half = np.bitwise_count(f0[: m - gap] ^ f0[gap:m])
+        at = np.flatnonzero(half <= limit)
+        at = at[bucket[at] == bucket[at + gap]]
+        at = at[half[at].astype(np.int16) + np.bitwise_count(f1[at] ^ f1[at + gap]) <= limit]
+        i, j = rows[at], rows[at + gap]
+        fresh = label[i] != label[j]
+        hits.append((i[fresh], j[fresh]))
+        held += int(fresh.sum())
+        if held > 20_000:
+            i, j, label = merged(*(np.concatenate(x) for x in zip(*hits)), label)
             found.append((i, j))
+            hits, held = [], 0
+    if held:
+        i, j, label = merged(*(np.concatenate(x) for x in zip(*hits)), label)
+        found.append((i, j))
+    if wide.any():
+        rows = np.flatnonzero(np.repeat(wide, size))
+        arranged, sizes, head = _largest_first(key[rows], label[rows])
+        arranged = rows[arranged]
+        for i, j in _later_pairs(sizes, head, block):
+            i, j = arranged[i], arranged[j]
+            ok = _distance(fp, i, j, limit)
+            i, j = i[ok], j[ok]
+            ok = label[i] != label[j]
+            if ok.any():
+                i, j, label = merged(i[ok], j[ok], label)
+                found.append((i, j))
     i, j = (np.concatenate(x) for x in zip(*found))
     return order[i], order[j]
 
