@@ -72,10 +72,8 @@ def decisions(done: Compiled) -> DataFrame:
     kept = kept.join(by, (c("by_o") == c("b_o")) & (c("by_exception") == c("is_exc")))
     removed, unsure = c("verdict") == "exception_covered", c("verdict") == "kept_because_uncertain"
     delta = F.when(removed, "changed").when(unsure, "uncertain").otherwise("preserved")
-    late = F.when(c("section") == "tld_wildcard", 4).otherwise(3)
     seq = F.struct(c("key_o"), c("o"), F.lit(0).alias("sub"))
-    parts.append(_decision(kept, 3, seq, c("verdict"), F.when(removed, "removed").when(unsure, "kept").otherwise("pruned"), F.when(unsure, "uncertain").otherwise("proven"), c("verdict"), delta, delta, c("detail"), c("by_facet")).withColumn("phase", F.lit(3)))
-    del late
+    parts.append(_decision(kept, 3, seq, c("verdict"), F.when(removed, "removed").when(unsure, "kept").otherwise("pruned"), F.when(unsure, "uncertain").otherwise("proven"), c("verdict"), delta, delta, c("detail"), c("by_facet")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -17,10 +17,8 @@ def synthetic(spark: SparkSession, files: int, rules_per_file: int) -> DataFrame
 
 def percentiles(df: DataFrame, value: str, group: str) -> DataFrame:
     """Per group least, most, p50 (interpolated) and p95 (nearest rank) of a column, six digits; nulls are left out."""
-    rank = F.greatest(F.lit(1), F.ceil(0.95 * F.col("n"))).cast("int")
-    # percentile_disc() at rank / n is the nearest-rank value and needs no list of all values.
-    out = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.median(value).alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"), F.count("*").alias("n"))
-    del rank
+    # percentile_disc() is the nearest-rank value and needs no list of all values.
+    out = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.median(value).alias("p50"), F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
     return out.select(group, *[F.round(c, 6).alias(c) for c in ("least", "most", "p50", "p95")])
 
 

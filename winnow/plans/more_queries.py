@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence, validate
 from ..operators.proof import capped_samples, decisions, summary
 from ..sources.health import STATUSES, totals, with_status
 from ..sources.lists import url_filename
-from ..sources.staging import staged
-from .oracle import CLASSIFIED, CLEANED, JUDGED, ROUTED, _norm, _syntax, listed, using
-from .registry import UNSUPPORTED_SQL, _cleaned, _compiled, _lines, query
+from .oracle import CLEANED, JUDGED, ROUTED, _norm, _syntax, listed, using
+from .registry import UNSUPPORTED_SQL, _compiled, _lines, query
 
 _HALVES = f"{CLEANED}, cur AS (SELECT DISTINCT trim(t) AS line FROM cleaned WHERE discard_reason IS NULL AND ord % 2 = 0), prev AS (SELECT DISTINCT trim(t) AS line FROM cleaned WHERE discard_reason IS NULL AND ord % 2 = 1)"
 
@@ -213,12 +211,10 @@ def proof_summary(spark, sf_dir):
 @query(
     using(
         _PROOF,
-        """SELECT reason, outcome, strict_agh_delta, project_policy_delta, at, bucket_total, rule FROM (SELECT reason, outcome, s AS strict_agh_delta, p AS project_policy_delta, rule,
-  row_number() OVER (PARTITION BY s, p, reason, outcome ORDER BY phase, k1 NULLS FIRST, k2 NULLS FIRST, ord, tok, sub)::BIGINT AS at, count(*) OVER (PARTITION BY s, p, reason, outcome)::BIGINT AS bucket_total FROM dec) WHERE at <= 25""",
+        """SELECT reason, outcome, strict_agh_delta, project_policy_delta, pos, bucket_total, rule FROM (SELECT reason, outcome, s AS strict_agh_delta, p AS project_policy_delta, rule,
+  row_number() OVER (PARTITION BY s, p, reason, outcome ORDER BY phase, k1 NULLS FIRST, k2 NULLS FIRST, ord, tok, sub)::BIGINT AS pos, count(*) OVER (PARTITION BY s, p, reason, outcome)::BIGINT AS bucket_total FROM dec) WHERE pos <= 25""",
     )
 )
 def proof_capped_samples(spark, sf_dir):
-    return capped_samples(decisions(_compiled(spark, sf_dir))).select("reason", "outcome", "strict_agh_delta", "project_policy_delta", F.col("at").cast("long").alias("at"), "bucket_total", F.col("candidate.normalized_rule").alias("rule"))
+    return capped_samples(decisions(_compiled(spark, sf_dir))).select("reason", "outcome", "strict_agh_delta", "project_policy_delta", F.col("at").cast("long").alias("pos"), "bucket_total", F.col("candidate.normalized_rule").alias("rule"))
 
-
-__all__ = ["CLASSIFIED", "Window", "staged", "_cleaned"]
