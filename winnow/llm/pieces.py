@@ -169,11 +169,11 @@ def distinct_segments(docs: DataFrame, path: str = MODEL) -> DataFrame:
             for part in simhash.chunks(batch, "text", 1 << 20):
                 start, end, h, _, whole = segments([t or "" for t in part.column(0).to_pylist()], joint)
                 h, at = np.unique(h, return_index=True)
-                if len(seen):
-                    at = at[~np.isin(h, seen, assume_unique=True)]
-                    h = np.setdiff1d(h, seen, assume_unique=True)
+                place = np.searchsorted(seen, h)
+                fresh = seen[np.minimum(place, len(seen) - 1)] != h if len(seen) else np.ones(len(h), bool)
+                h, at, place = h[fresh], at[fresh], place[fresh]
                 # What a task has sent is remembered up to a bound; beyond it a segment may be sent again, and is counted once all the same.
-                seen = np.union1d(seen, h) if len(seen) < 2_000_000 else h
+                seen = np.insert(seen, place, h) if len(seen) < 2_000_000 else h
                 words = [whole[a:b].replace(" ", SPACE) for a, b in zip(start[at].tolist(), end[at].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(words, pa.string())], ["h", "segment"])
 
@@ -225,9 +225,9 @@ def encoded_segments(found: DataFrame, path: str = MODEL) -> DataFrame:
     # A merge c over the border x.s is early if both its halves stand on the spines there and it comes before either half is used up.
     part = lambda v, shift, bits: f"(shiftrightunsigned({v}, {shift}) & {(1 << bits) - 1}L)"
     when = f"shiftleft(greatest(c.rank, {part('a', 40, 20)} - 1, {part('b', 40, 20)} - 1), 20) + c.rank"
-    early = f"""exists(flatten(transform(slice(byend, x.s + 1, x.e - x.s), g -> g.into)), c -> c.s < x.s and c.rank >= 0 and
+    early = f"""exists(slice(byend, x.s + 1, x.e - x.s), q -> exists(q.into, c -> c.s < x.s and c.rank >= 0 and
         exists(element_at(acc, x.s).rs, a -> {part('a', 60, 4)} = x.s - c.s - 1 and
-        exists(x.ls, b -> {part('b', 60, 4)} = c.e - x.s - 1 and {when} < {part('a', 0, 40)} and {when} <= {part('b', 0, 40)})))"""
+        exists(x.ls, b -> {part('b', 60, 4)} = c.e - x.s - 1 and {when} < {part('a', 0, 40)} and {when} <= {part('b', 0, 40)}))))"""
     edge = "struct<e:int,s:int,id:int,lacking:string,rank:bigint,whole:boolean,ls:array<bigint>,rs:array<bigint>>"
     kept = f"""aggregate(byend, cast(array() as array<{edge}>),
         (acc, g) -> concat(acc, array(aggregate(g.into, cast(null as {edge}), (found, x) -> if(found is null and x.whole and (x.s = 0 or not {early}), x, found)))))"""
