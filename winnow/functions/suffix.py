@@ -42,8 +42,7 @@ def rules() -> tuple[tuple[str, bool, bool, bool], ...]:
         elif inside and line.strip() and not line.startswith("//"):
             rule = line.split()[0]
             kind = 2 if rule.startswith("!") else 1 if rule.startswith("*.") else 0
-            name = rule[kind if kind != 1 else 2 :] if kind else rule
-            name = name.lstrip("!")
+            name = rule[(0, 2, 1)[kind] :]
             forms = {name}
             if not name.isascii():
                 forms.add(".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in name.split(".")))
