@@ -1,4 +1,4 @@
-"""What the text operators share: tables in the cluster's folder, row keys, and connected groups."""
+"""What the text operators share: tables in the cluster's folder, and connected groups."""
 
 from __future__ import annotations
 
@@ -50,12 +50,6 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def row_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> tuple[Column, Column]:
-    """Two longs that tell documents apart; a null id or text has a value of its own, and a repeated row the same key."""
-    doc_id, text = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
-    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(text, F.lit("\0null")))
-
-
 def words_in(text: str | Column) -> Column:
     """White-space separated words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")

@@ -12,7 +12,7 @@ from .common import components, cut
 from .forest import Forest
 
 MIN_CHARS, MIN_WORDS = 20, 5
-_NO_ID = -(2**63)
+_NO_ID = 2**63 - 1
 
 
 def _worded(batches):
@@ -123,7 +123,7 @@ def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     are repeats. Lines of MIN_WORDS words or more are also repeats if their edit similarity over words (1 - Levenshtein
     distance / longer line, both counted in words) is at least similarity and at most limit bits of their SimHash differ; candidates share one of
     several blocks of its bits, as wide as the number of distinct lines calls for and as many as find a pair reach
-    bits apart with chance target. Groups are connected, and the occurrence with the least (doc_id, hash of the text, line number) stays (null ids first).
+    bits apart with chance target. Groups are connected, and the occurrence with the least (doc_id, hash of the text, line number) stays (null ids last).
 
     Edge cases: a null or empty text stays as it is; lines that are blank, short or without a word are kept; a
     document of which nothing is left has an empty text here; rows repeated with id and text count once; an empty

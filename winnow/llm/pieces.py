@@ -238,12 +238,17 @@ def encoded_segments(found: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 class _Lookup:
-    """The ids of segments by hash, as sorted arrays."""
+    """The ids of segments by hash, as sorted arrays in the narrowest types that hold them."""
 
     def __init__(self, h: np.ndarray, size: np.ndarray, flat: np.ndarray):
         order = np.argsort(h)
-        begin = (np.cumsum(size) - size)[order]
-        self.h, self.size, self.begin, self.flat = h[order], size[order].astype(np.int32), begin, flat
+        begin, size = (np.cumsum(size) - size)[order], size[order]
+        ends = np.cumsum(size)
+        # The ids are put in the order of the hashes, so that one array of bounds says where each segment's ids are.
+        flat = flat[np.repeat(begin - (ends - size), size) + np.arange(len(flat))] if len(flat) else flat
+        self.h = h[order]
+        self.bound = np.concatenate(([0], ends)).astype(np.uint32 if len(flat) < 2**32 else np.int64)
+        self.flat = flat.astype(np.uint16) if flat.max(initial=0) < 2**16 else flat
 
     @classmethod
     def of(cls, table) -> _Lookup:
@@ -256,9 +261,10 @@ class _Lookup:
         _, _, h, first, _ = segments(texts, joint)
         distinct, back = np.unique(h, return_inverse=True)
         at = np.searchsorted(self.h, distinct)[back] if len(h) else np.zeros(0, np.int64)
-        size = self.size[at].astype(np.int64)
+        start = self.bound[at].astype(np.int64)
+        size = self.bound[at + 1].astype(np.int64) - start
         begin = np.cumsum(size) - size
-        out = self.flat[np.repeat(self.begin[at] - begin, size) + np.arange(int(size.sum()))]
+        out = self.flat[np.repeat(start - begin, size) + np.arange(int(size.sum()))].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(np.concatenate((begin, [len(out)]))[first].astype(np.int32)), pa.array(out))
 
 

@@ -119,6 +119,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def survives(depth: int, reach: int, bits: int = BITS) -> float:
