@@ -45,6 +45,7 @@ _TEMPLATES = [
     "'@@' || h",
     "'*track' || CAST(ord % 20 AS STRING) || '*'",
     "'||' || h || '^$client='",
+    "'||*.' || h || '^'",
 ]
 RAW = "CASE (ord * 7 + src * 3) % " + str(len(_TEMPLATES)) + "".join(f"\n  WHEN {i} THEN {t}" for i, t in enumerate(_TEMPLATES)) + " END"
 SQL = f"SELECT CAST(ord AS BIGINT) AS ord, CAST(src AS BIGINT) AS src, h, parent, {RAW} AS raw FROM ({EVENTS} UNION ALL {PAGES}) base"
