@@ -111,6 +111,8 @@ def test_a_folder_becomes_one_file(spark, tmp_path):
     (raw / "c.lst").write_text("||no.org^\n")
     report = process_files(spark, str(raw), str(tmp_path / "out.txt"), str(tmp_path / "s.json"), str(tmp_path / "p.json"))
     assert (tmp_path / "out.txt").read_text() == "||a.org^\n||z.org^\n�||bad\n"
+    stages = json.loads((tmp_path / "s.json").read_text())["stage_summaries"]["cleaner"]
+    assert stages["prefilter"]["reasons"] == {"comment": 1} and stages["emit"]["emitted"] == 5 and stages["normalize"]["processed"] == 4
     s = json.loads((tmp_path / "s.json").read_text())["statistics"]
     assert s["lines_raw"] == 6 and s["comment_removed"] == 1 and s["duplicate_pruned"] == 1 and s["lines_output"] == 3 and s["trimmed"] == 4
     assert len(json.loads((tmp_path / "p.json").read_text())["records"]) >= 2 and "3 rules" in summary_text(report)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .modifiers import KNOWN, SCOPED
 from .text import S, normalize_domain, tokens
 
-BLOCKING_IPS = ("0.0.0.0", "127.0.0.1", "::1", "::0", "::", "0:0:0:0:0:0:0:0", "0:0:0:0:0:0:0:1")
-LOCAL_NAMES = ("localhost", "localhost.localdomain", "local", "broadcasthost", "ip6-localhost", "ip6-loopback", "ip6-localnet", "ip6-mcastprefix", "ip6-allnodes", "ip6-allrouters", "ip6-allhosts")
+BLOCKING_IPS = tuple(":: ::0 ::1 0.0.0.0 0:0:0:0:0:0:0:0 0:0:0:0:0:0:0:1 127.0.0.1".split())
+LOCAL_NAMES = ("broadcasthost", "local", "localhost", "localhost.localdomain", *(f"ip6-{x}" for x in "allhosts allnodes allrouters localhost localnet loopback mcastprefix".split()))
 DNS, HOSTS, POLICY = "adguard_dns_filtering_syntax", "adguard_home_hosts_blocklists", "project_policy"
 
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-VALUED = ("client", "ctag", "denyallow", "dnsrewrite", "dnstype")
-FLAGS = ("badfilter", "important")
+VALUED = tuple("dnstype ctag client dnsrewrite denyallow".split())
+FLAGS = tuple("important badfilter".split())
 KNOWN = VALUED + FLAGS
-SCOPED = ("client", "ctag", "denyallow", "dnstype")
-SPECIAL = ("badfilter", "denyallow", "dnsrewrite")
+SCOPED = tuple(m for m in VALUED if m != "dnsrewrite")
+SPECIAL = tuple("denyallow badfilter dnsrewrite".split())
 
 _ATOM = r"""\\[\s\S]|\\$|'(?:[^'\\]++|\\[\s\S])*+(?:'|\\?$)|"(?:[^"\\]++|\\[\s\S])*+(?:"|\\?$)"""
 _BALANCED = r"""^(?:[^'"\\]++|\\[\s\S]|'(?:[^'\\]++|\\[\s\S])*+'|"(?:[^"\\]++|\\[\s\S])*+")*+$"""

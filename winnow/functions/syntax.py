@@ -13,11 +13,13 @@ LABEL = "[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
 PLAIN_DOMAIN = rf"^{LABEL}(?:\.{LABEL})*$"
 HOSTS_LINE = rf"^[\p{{Nd}}.:a-fA-F]+{S}+{NOT_S}"
 
+#: Modifiers that only a browser can follow.
 UNSUPPORTED = tuple(
-    """script image stylesheet font media object subdocument xmlhttprequest websocket webrtc ping other css js
-    third-party 3p first-party 1p document doc popup all network redirect redirect-rule empty mp4 csp permissions
-    header removeparam removeheader replace hls jsonprune genericblock generichide elemhide specifichide jsinject
-    urlblock content extension domain match-case strict-first-party strict-third-party stealth app method""".split()
+    """1p 3p all app content csp css doc document domain elemhide empty extension first-party font genericblock
+    generichide header hls image js jsinject jsonprune match-case media method mp4 network object other
+    permissions ping popup redirect redirect-rule removeheader removeparam replace script specifichide
+    stealth strict-first-party strict-third-party stylesheet subdocument third-party urlblock webrtc
+    websocket xmlhttprequest""".split()
 )
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.syntax import UNSUPPORTED, with_syntax
 from ..functions.text import S, strip
 
-COSMETIC = r"(?i)#[@$?%]*#|#[@$?%]*\?#|\$#|#%#|\[adblock"
+COSMETIC = r"(?i)#[@$?%]*#|\$#|\[adblock"
 TRAILING = rf"{S}+#{S}+[^\n]*$"
 REASONS = ("comment", "cosmetic", "unsupported_modifier", "empty", "url_path", "invalid")
 #: The stage of the report that a reason belongs to.
-STAGE_OF = {"empty": "trim", "comment": "comment", "cosmetic": "cosmetic", "unsupported_modifier": "modifier", "url_path": "syntax", "invalid": "syntax"}
+STAGE_OF = {"empty": "prefilter", "comment": "prefilter", "cosmetic": "compatibility", "unsupported_modifier": "compatibility", "url_path": "compatibility", "invalid": "syntax"}
 
 
 def without_trailing_comment(line):
@@ -56,3 +56,15 @@ def clean_stats(cleaned: DataFrame) -> DataFrame:
         F.count_if("was_trimmed").alias("trimmed"),
         *[F.count_if(F.col("discard_reason") == r).alias(f"{r}_removed") for r in REASONS],
     )
+
+
+def clean_stages(stats: dict) -> dict:
+    """Processed, emitted and discarded of each cleaning stage, from clean_stats(); only reasons that occurred are listed."""
+    out = {stage: {"processed": 0, "emitted": 0, "discarded": 0, "reasons": {}} for stage in ("normalize", "prefilter", "compatibility", "syntax", "emit")}
+    for stage, reason, key, kind in [("normalize", "trimmed", "trimmed", "emitted"), *((STAGE_OF[r], r, f"{r}_removed", "discarded") for r in REASONS), ("emit", "kept", "lines_clean", "emitted")]:
+        if n := int(stats.get(key) or 0):
+            row = out[stage]
+            row["processed"] += n
+            row[kind] += n
+            row["reasons"][reason] = n
+    return out

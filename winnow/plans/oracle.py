@@ -78,7 +78,7 @@ c2 AS (SELECT *, CASE WHEN contains(s, '$') AND contains(regexp_extract(s, '[^$]
 {_syntax('t', 'c2', 'cs')},
 cleaned AS (SELECT ord, src, h, parent, raw,
   CASE WHEN s = '' THEN 'empty' WHEN starts_with(s, '#') OR starts_with(s, '!') THEN 'comment'
-    WHEN regexp_matches(s, '(?i)#[@$?%]*#|#[@$?%]*\\?#|\\$#|#%#|\\[adblock') THEN 'cosmetic'
+    WHEN regexp_matches(s, '(?i)#[@$?%]*#|\\$#|\\[adblock') THEN 'cosmetic'
     WHEN list_has_any(names, {listed(UNSUPPORTED)}) THEN 'unsupported_modifier' WHEN has_url_path THEN 'url_path' WHEN is_invalid THEN 'invalid' END AS discard_reason,
   t, length(s) <> length(raw) OR length(t) <> length(s) AS shorter FROM cs)"""
 

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clean import clean, clean_stats
+from ..operators.clean import clean, clean_stages, clean_stats
 from ..sources.health import save_json
 from ..sources.lists import read_lists, write_lines
 from ..sources.staging import staged
@@ -36,7 +36,7 @@ def process_files(spark: SparkSession, folder: str, output: str, stats_path: str
         "execution_time_seconds": round(time.time() - began, 3),
         "statistics": counts,
         "cardinalities": cardinalities,
-        "stage_summaries": stage_summaries(counts, cardinalities),
+        "stage_summaries": {"cleaner": clean_stages(counts), "compiler": stage_summaries(counts, cardinalities)},
     }
     if stats_path:
         save_json(stats_path, report)
