@@ -298,6 +298,17 @@ def test_digests_find_versions(spark):
     assert np.mean([got[k] == got[k + len(texts)] for k in range(len(texts))]) >= 0.95
 
 
+def test_digests_join_a_crowd_of_near_copies(spark):
+    r = random.Random(4)
+    known = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(5000)]
+    text = [r.choice(known) for _ in range(870)]
+    crowd = [" ".join(r.choice(known) if r.random() < 0.02 else w for w in text) for _ in range(40)]
+    others = [" ".join(r.choice(known) for _ in range(870)) for _ in range(20)]
+    got = {x.doc_id: x for x in digest.fingerprints(spark.createDataFrame(list(enumerate(crowd + others)), "doc_id long, text string")).collect()}
+    assert [got[k].group_id for k in range(40)] == [0] * 40 and all(got[k].score >= 20 for k in range(40))
+    assert [got[k].group_id for k in range(40, 60)] == list(range(40, 60))
+
+
 def test_warc_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")

@@ -122,7 +122,8 @@ def linked(keys: DataFrame, verify, sketch: int | None = None) -> DataFrame:
     """Edges (a, b) that join what verify accepts among nodes that share a key; enough of them for connected groups.
 
     keys has (key, node) and, if sketch is given, an integer s of which at most so many bits may differ between
-    a pair worth verifying. Every node is first held against the least node of its bucket, which is linear in the
+    a pair worth verifying; if it has a boolean probe, only pairs are tried of which one at least is a probe for the key
+    that they share. Every node is first held against the least node of its bucket, which is linear in the
     bucket; groups of copies fall together there. Pairs are then tried only between nodes that are still in
     different groups, so no pair is left out and a bucket full of one group's copies costs nothing more.
     verify takes pairs (a, b) and returns those accepted.
@@ -130,20 +131,24 @@ def linked(keys: DataFrame, verify, sketch: int | None = None) -> DataFrame:
     bucket = Window.partitionBy("key")
     if "s" not in keys.columns:
         keys = keys.withColumn("s", F.lit(0))
+    if "probe" not in keys.columns:
+        keys = keys.withColumn("probe", F.lit(True))
     close = (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= sketch) if sketch is not None else F.lit(True)
     shared = cut(
-        keys.select("key", "node", "s")
-        .withColumn("first", F.min(F.struct("node", "s")).over(bucket))
+        keys.select("key", "node", "s", "probe")
+        .withColumn("first", F.min(F.struct(~F.col("probe"), "node", "s")).over(bucket))
         .withColumn("n", F.count("*").over(bucket))
-        .where("n > 1"),
+        .withColumn("probed", F.max("probe").over(bucket))
+        .where("n > 1 and probed")
+        .drop("probed"),
         "buckets",
     )
     led = shared.select(F.col("first.node").alias("a"), F.col("node").alias("b"), "s", F.col("first.s").alias("t")).where("a <> b").where(close)
-    edges = cut(verify(led.select("a", "b").distinct()), "led")
+    edges = cut(verify(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "led")
     group = cut(components(edges), "groups")
-    placed = shared.where("n > 2").select("key", "node", "s").join(group, "node", "left").select("key", "node", "s", F.coalesce("label", "node").alias("g"))
+    placed = shared.where("n > 2").select("key", "node", "s", "probe").join(group, "node", "left").select("key", "node", "s", "probe", F.coalesce("label", "node").alias("g"))
     # A bucket of one group only has nothing left to try.
-    mixed = placed.withColumn("lo", F.min("g").over(bucket)).withColumn("hi", F.max("g").over(bucket)).where("lo <> hi").select("key", "node", "s", "g")
-    left, right = mixed.toDF("key", "a", "s", "ga"), mixed.toDF("key", "b", "t", "gb")
-    rest = left.join(right, (left.key == right.key) & (left.a < right.b) & (left.ga != right.gb)).where(close).select("a", "b").distinct()
+    mixed = placed.withColumn("lo", F.min("g").over(bucket)).withColumn("hi", F.max("g").over(bucket)).where("lo <> hi").select("key", "node", "s", "probe", "g")
+    left, right = mixed.toDF("key", "a", "s", "pa", "ga"), mixed.toDF("key", "b", "t", "pb", "gb")
+    rest = left.join(right, (left.key == right.key) & (left.a < right.b) & (left.ga != right.gb) & (left.pa | right.pb)).where(close).select("a", "b").distinct()
     return edges.union(cut(verify(rest), "rest"))

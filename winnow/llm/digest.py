@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, cut, linked
+from .common import components, cut, discard, linked
 
 WINDOW = 64
 LEVELS = 1001
@@ -134,6 +134,21 @@ def overlap(a: bytes, b: bytes) -> float:
     return float(score.max(axis=1).mean())
 
 
+def probes(h: np.ndarray, owner: np.ndarray, part: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Which features are looked up: of every filter (owner, part) all but a fifth, and one more, the least of level first, then by hash.
+
+    Two filters that share a fifth of the smaller one's features share at least one that is looked up for it.
+    """
+    order = np.lexsort((simhash.mix(h, 5), level, part, owner))
+    o, p = owner[order], part[order]
+    begin = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (p[1:] != p[:-1])))) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(h)))
+    most = size - -(-size // 5) + 1
+    out = np.zeros(len(h), bool)
+    out[order] = np.arange(len(h)) - np.repeat(begin, size) < np.repeat(most, size)
+    return out
+
+
 def entropy_ranks(docs: DataFrame) -> np.ndarray:
     """The rank of each entropy level by how seldom it occurs in the windows of all texts; ties: the lower level first."""
 
@@ -190,22 +205,25 @@ def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "a long, b long, score double")
 
 
-def fingerprints(docs: DataFrame, least_score: float = 20.0, sketch: int = 12) -> DataFrame:
+def fingerprints(docs: DataFrame, least_score: float = 20.0) -> DataFrame:
     """(doc_id, n_features, n_filters, digest, group_id, score) for every row of docs (doc_id, text).
 
     The digest chains Bloom filters of the windows that are improbable in this corpus. Texts whose digests reach
     least_score, and whose numbers of features differ at most by half, are versions of each other; group_id is the
     least doc_id of the connected group, score the best score that the text reached (100 for equal texts, null if
-    alone). Candidates share one of the sketch features that come first in an order of all features: common ones
-    last, by counters of a fixed size over all texts, and otherwise by hash. A text that shares a fifth of its
-    features with another has at least one of its first four fifths in common, so no more of them are keys.
+    alone). Every feature is a key; a pair is a candidate if it shares one that is looked up for either text: of each
+    filter all but a fifth, and one more, in an order of all features, common ones last by counters of a fixed size
+    over all texts, and otherwise by hash. So texts of which two filters share a fifth of the smaller one's features
+    always meet, however many near copies there are; a score counts from well above that.
 
     Edge cases: a null or empty text, or one under 127 bytes, has no features, a null digest and no partner except
     equal texts, which always share a group; ties go to the least id; repeated rows are each returned; an empty
     table gives an empty result; other columns are ignored.
     """
     base = cut(digests(docs), "digests")
-    nodes = cut(base.where("n_features > 0").groupBy("node").agg(F.first("n_features").alias("n_features"), F.first("digest").alias("digest"), F.first("features").alias("features")), "digest-nodes")
+    nodes = cut(base.where("n_features > 0").groupBy("node").agg(F.first("n_features").alias("n_features"), F.first("digest").alias("digest"), F.first("n_filters").alias("n_filters"), F.first("features").alias("features")), "digest-nodes")
+    rows = cut(base.select("doc_id", "node"), "digest-rows")
+    discard(base)
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -229,18 +247,17 @@ def fingerprints(docs: DataFrame, least_score: float = 20.0, sketch: int = 12) -
             h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             size = pc.list_value_length(lists).to_numpy()
             owner = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((simhash.mix(h, 5), level[(h >> np.uint64(44)).astype(np.int64)], owner))
             nth = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            most = np.minimum(sketch, size - np.ceil(0.2 * size).astype(np.int64) + 1)
-            take = order[nth < most[owner]]
-            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(node[owner[take]])], ["key", "node"])
+            probe = probes(h, owner, nth // PER_FILTER, level[(h >> np.uint64(44)).astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[owner]), pa.array(probe)], ["key", "node", "probe"])
 
-    keys = nodes.select("node", "features").mapInArrow(first, "key long, node long")
+    keys = nodes.select("node", "features").mapInArrow(first, "key long, node long, probe boolean")
     edges = cut(linked(keys, lambda pairs: compared(pairs, nodes).where(F.col("score") >= least_score)), "scored")
     best = edges.select(F.explode(F.array("a", "b")).alias("node"), "score").groupBy("node").agg(F.max("score").alias("best"))
     label = components(edges)
-    copies = base.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
+    copies = rows.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     named = copies.join(label, "node", "left").join(best, "node", "left").withColumn("g", F.coalesce("label", "node"))
     group = named.groupBy("g").agg(F.min("least").alias("group_id"))
     per_node = named.join(group, "g").select("node", "group_id", F.when(F.col("copies") > 1, F.lit(100.0)).otherwise(F.col("best")).alias("score"))
-    return base.select("doc_id", "node", "n_features", "n_filters", "digest").join(per_node, "node").select("doc_id", "n_features", "n_filters", "digest", "group_id", "score")
+    per_node = per_node.join(nodes.select("node", "n_features", "n_filters", "digest"), "node", "left").fillna(0, ["n_features", "n_filters"])
+    return rows.join(per_node, "node").select("doc_id", "n_features", "n_filters", "digest", "group_id", "score")
