@@ -309,6 +309,15 @@ def test_digests_join_a_crowd_of_near_copies(spark):
     assert [got[k].group_id for k in range(40, 60)] == list(range(40, 60))
 
 
+def test_digests_find_excerpts_of_under_half_the_length(spark):
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(1500)) for _ in range(20)]
+    excerpts = [t[k * 200 : k * 200 + len(t) // 4] for k, t in enumerate(texts)]
+    got = {x.doc_id: x for x in digest.fingerprints(spark.createDataFrame(list(enumerate(texts + excerpts)), "doc_id long, text string")).collect()}
+    assert all(2 * got[k + 20].n_features < got[k].n_features for k in range(20))
+    assert [got[k + 20].group_id for k in range(20)] == list(range(20)) and all(got[k + 20].score >= 20 for k in range(20))
+
+
 def test_warc_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")

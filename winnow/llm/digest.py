@@ -192,11 +192,10 @@ def digests(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
 
 
 def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs (a, b) with the score of their digests in nodes (node, n_features, digest)."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n_features").alias("na"), F.col("digest").alias("da"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n_features").alias("nb"), F.col("digest").alias("db"))
-    # Only texts of which one has no more than twice the features of the other can be versions of each other.
-    both = pairs.join(one, "a").join(two, "b").where("na <= 2 * nb and nb <= 2 * na").select("a", "b", "da", "db")
+    """pairs (a, b) with the score of their digests in nodes (node, digest)."""
+    one = nodes.select(F.col("node").alias("a"), F.col("digest").alias("da"))
+    two = nodes.select(F.col("node").alias("b"), F.col("digest").alias("db"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "da", "db")
 
     def run(frames):
         for pdf in frames:
@@ -209,12 +208,13 @@ def fingerprints(docs: DataFrame, least_score: float = 20.0) -> DataFrame:
     """(doc_id, n_features, n_filters, digest, group_id, score) for every row of docs (doc_id, text).
 
     The digest chains Bloom filters of the windows that are improbable in this corpus. Texts whose digests reach
-    least_score, and whose numbers of features differ at most by half, are versions of each other; group_id is the
-    least doc_id of the connected group, score the best score that the text reached (100 for equal texts, null if
-    alone). Every feature is a key; a pair is a candidate if it shares one that is looked up for either text: of each
-    filter all but a fifth, and one more, in an order of all features, common ones last by counters of a fixed size
-    over all texts, and otherwise by hash. So texts of which two filters share a fifth of the smaller one's features
-    always meet, however many near copies there are; a score counts from well above that.
+    least_score are versions of each other, whatever their lengths: the overlap is normalised by the smaller digest,
+    so an excerpt is a version of the text that contains it, and texts that share an excerpt which is a text of its own
+    are connected through it. group_id is the least doc_id of the connected group, score the best score that the text
+    reached (100 for equal texts, null if alone). Every feature is a key; a pair is a candidate if it shares one that is
+    looked up for either text: of each filter all but a fifth, and one more, in an order of all features, common ones
+    last by counters of a fixed size over all texts, and otherwise by hash. So texts of which two filters share a fifth
+    of the smaller one's features always meet, however many near copies there are; a score counts from well above that.
 
     Edge cases: a null or empty text, or one under 127 bytes, has no features, a null digest and no partner except
     equal texts, which always share a group; ties go to the least id; repeated rows are each returned; an empty
