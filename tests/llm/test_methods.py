@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy."""
 
+import inspect
 import itertools
 import random
 
@@ -207,6 +208,20 @@ def test_multi_sequence_order_is_that_of_all_cells():
     assert np.allclose(np.take_along_axis(d.reshape(40, -1), got, 1), np.take_along_axis(d.reshape(40, -1), want, 1), atol=1e-5)
 
 
+def test_lines_at_the_limit_are_found_as_often_as_promised(spark):
+    given = {k: p.default for k, p in inspect.signature(line_dedup.line_groups).parameters.items() if k != "docs"}
+    r = np.random.default_rng(6)
+    bits = r.integers(0, 2, (20_000, 128), dtype=np.uint8)
+    near = bits[:300].copy()
+    for row in near:
+        row[r.permutation(128)[: given["limit"]]] ^= 1
+    fp = np.packbits(np.concatenate((bits, near)), axis=1).view(np.int64)
+    nodes = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(fp)], "node long, f0 long, f1 long")
+    lines = forest.Forest(nodes, given["limit"], given["reach"], given["target"], given.get("occupancy", 64))
+    found = {(e.a, e.b) for e in lines.edges().collect()}
+    assert np.mean([(k, 20_000 + k) in found for k in range(300)]) >= given["target"] - 0.05
+
+
 def test_vectors_reach_the_recall(spark):
     r = np.random.default_rng(7)
     base = np.array([v[1] for v in read("embeddings")], np.float32)

@@ -1,4 +1,4 @@
-"""Line dedup: SimHash of normalised lines, pigeonhole blocks, verified edit similarity, one occurrence of each connected group kept."""
+"""Line dedup: SimHash of normalised lines, random prefixes of its bits, verified edit similarity, one occurrence of each connected group kept."""
 
 from __future__ import annotations
 
@@ -58,16 +58,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "doc long, text_key long, line_no int, node long, f0 long, f1 long, n_words int")
 
 
-def line_groups(docs: DataFrame, similarity: float = 0.85, limit: int = 24, reach: int = 16, target: float = 0.92) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, similarity: float = 0.85, limit: int = 24, reach: int = 24, target: float = 0.92, occupancy: int = 2048) -> tuple[DataFrame, DataFrame]:
     """The table of lines (see _lines) and (node, label) of those nodes that stand in a group of several.
 
     Nodes within limit bits are first joined by as few pairs as it takes, and these verified. Where all of a
     group's pairs hold there is nothing more to find; the groups that fell apart are matched again, and every pair
     between their parts verified. So a crowd of copies costs no more than its size, and no candidate is left out.
+    occupancy: lines that share a prefix; many, as a short prefix takes few tries, each of which shuffles all lines.
     """
     lines = cut(_lines(docs), "lines")
     nodes = cut(lines.where(f"n_words >= {MIN_WORDS}").groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), *[F.first(c).alias(c) for c in ("doc", "text_key", "line_no")]), "nodes")
-    forest = Forest(nodes, limit, reach, target, occupancy=64)
+    forest = Forest(nodes, limit, reach, target, occupancy)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_key"), F.col("text").cast("string").alias("text"))
 
     def words_of(wanted: DataFrame) -> DataFrame:
@@ -122,8 +123,8 @@ def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     Lines of at least MIN_CHARS bytes are compared in lower case and without punctuation. Lines with the same words
     are repeats. Lines of MIN_WORDS words or more are also repeats if their edit similarity over words (1 - Levenshtein
     distance / longer line, both counted in words) is at least similarity and at most limit bits of their SimHash differ; candidates share one of
-    several blocks of its bits, as wide as the number of distinct lines calls for and as many as find a pair reach
-    bits apart with chance target. Groups are connected, and the occurrence with the least (doc_id, hash of the text, line number) stays (null ids last).
+    several random prefixes of its bits, as long as the number of distinct lines calls for and as many as find a pair
+    reach bits apart (limit, so that every pair counts) with chance target. Groups are connected, and the occurrence with the least (doc_id, hash of the text, line number) stays (null ids last).
 
     Edge cases: a null or empty text stays as it is; lines that are blank, short or without a word are kept; a
     document of which nothing is left has an empty text here; rows repeated with id and text count once; an empty
