@@ -222,6 +222,13 @@ def test_lines_at_the_limit_are_found_as_often_as_promised(spark):
     assert np.mean([(k, 20_000 + k) in found for k in range(300)]) >= given["target"] - 0.05
 
 
+def test_near_duplicates_reach_their_limit():
+    given = {k: p.default for k, p in inspect.signature(near_dedup.groups).parameters.items() if k != "docs"}
+    for n in (10**3, 10**5, 10**7):
+        depth, how_many = simhash.tries(n, given["reach"], given["target"], 16)
+        assert 1 - (1 - simhash.survives(depth, given["limit"])) ** how_many >= given["target"] - 1e-9
+
+
 def test_vectors_reach_the_recall(spark):
     r = np.random.default_rng(7)
     base = np.array([v[1] for v in read("embeddings")], np.float32)

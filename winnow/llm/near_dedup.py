@@ -27,13 +27,13 @@ def _fingerprinted(docs: DataFrame) -> DataFrame:
 
 
 
-def groups(docs: DataFrame, limit: int = 24, reach: int = 20, target: float = 0.95) -> DataFrame:
+def groups(docs: DataFrame, limit: int = 24, reach: int = 24, target: float = 0.95) -> DataFrame:
     """(doc_id, node, group_id, kept) for every row of docs (doc_id, text): which group of near duplicates it is in, and whether it stays.
 
     Two texts are near duplicates if at most limit of the 128 bits of their SimHash differ (24: a cosine of about
     0.83 between their sets of words); groups are connected. The forest has as many tries, and as deep prefixes,
-    as the number of distinct texts calls for, so that a pair reach bits apart is found with chance target;
-    closer pairs more often. Of each group the row with the least doc_id stays (ties: the text with the least
+    as the number of distinct texts calls for (one depth for all), so that a pair reach bits apart is found with chance
+    target; closer pairs more often. reach is limit, so target holds for every pair. Of each group the row with the least doc_id stays (ties: the text with the least
     hash; null ids last), and of repeated rows one.
 
     Edge cases: null texts are equal to each other; texts without a word are equal only if they are the same;
