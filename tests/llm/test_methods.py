@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from winnow.llm import digest, forest, html_crf, langid, line_dedup, near_dedup, packing, pieces, sharding, simhash, vectors, warc
+from winnow.llm import common, digest, forest, html_crf, langid, line_dedup, near_dedup, packing, pieces, sharding, simhash, vectors, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,24 +119,57 @@ def brute_groups(n, pairs):
     return [find(x) for x in range(n)]
 
 
-def test_buckets_against_brute_force():
+@pytest.mark.parametrize("wide", [4, 512])
+def test_buckets_against_brute_force(monkeypatch, wide):
+    monkeypatch.setattr(forest, "WIDE", wide)
     r = np.random.default_rng(0)
-    for _ in range(25):
+    for k in range(40):
         n, limit = int(r.integers(2, 300)), 10
         key = r.integers(0, 15, n).astype(np.uint64)
         fp = r.integers(0, 2**63, (25, 2)).astype(np.uint64)[r.integers(0, 25, n)].copy()
         for _ in range(r.integers(0, 14)):
             fp[:, 0] ^= np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
+        size = r.integers(1, 40, n) if k % 2 else None
         near = (np.bitwise_count(fp[:, None] ^ fp[None]).sum(-1) <= limit) & (key[:, None] == key[None])
-        i, j = forest.bucket_edges(key, fp, limit)
+        fits = np.minimum(size[:, None], size[None]) >= 0.8 * np.maximum(size[:, None], size[None]) - 1e-6 if k % 2 else np.ones((n, n), bool)
+        i, j, label = forest.bucket_edges(key, fp, limit, size=size, ratio=0.8)
         assert near[i, j].all()
-        assert len(set(brute_groups(n, zip(i.tolist(), j.tolist())))) == len(set(brute_groups(n, np.argwhere(near).tolist())))
+        # With sizes, neighbours are joined whatever their sizes; every pair that fits must be joined.
+        groups = brute_groups(n, zip(i.tolist(), j.tolist()))
+        assert all(groups[a] == groups[b] and label[a] == label[b] for a, b in np.argwhere(near & fits).tolist())
+        assert len(set(groups)) == len(set(label.tolist())) >= len(set(brute_groups(n, np.argwhere(near).tolist())))
+        again = forest.bucket_edges(key, fp, limit, label=label, size=size, ratio=0.8)
+        assert not len(again[0]) and (again[2] == label).all()
         label = r.integers(0, 5, n)
-        i, j = forest.cross_pairs(key, label, fp, limit)
-        want = {tuple(sorted(p)) for p in np.argwhere(near & (label[:, None] != label[None])).tolist()}
+        i, j = forest.cross_pairs(key, label, fp, limit, size, 0.8)
+        want = {tuple(sorted(p)) for p in np.argwhere(near & fits & (label[:, None] != label[None])).tolist()}
         assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
 
 
+def morse(n):
+    """Two strings that a polynomial modulo 2^64 can't tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_thue_morse_strings_apart(spark):
+    a, b = morse(2048)
+    one, two = morse(512)
+    data, offsets = simhash.buffers(pa.array([a, b, one, two, " ".join(a), " ".join(b)]))
+    _, h, first = simhash.words(data, offsets)
+    assert len(set(h[:4].tolist())) == 4 and len(set(simhash.sequence_hash(h, first).tolist())) == 6
+    frame = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, one), (4, two)], "doc_id long, text string")
+    assert all(r.n_dropped == 0 for r in line_dedup.dedup_lines(frame).collect() if r.doc_id > 2)
+    assert {r.doc_id: r.decoded for r in pieces.encode(frame.where("doc_id > 2"), decoded=True).collect()} == {3: one, 4: two}
+
+
+def test_contents_of_one_hash_stay_apart(spark):
+    rows = spark.createDataFrame([(7, 1, 10), (7, 1, 10), (7, 2, 20), (8, 3, 30)], "node long, check long, f0 long")
+    moved, nodes = common.nodes_of(rows, ["f0"])
+    assert nodes.count() == 3 and moved.select("node", "check").distinct().count() == 3 and moved.count() == 4
+    assert {r.f0 for r in nodes.collect()} == {10, 20, 30}
+
+
 def test_fingerprints_do_not_depend_on_the_batch():
     texts = [d[1] for d in read("documents")]
     whole, _ = simhash.of_texts(pa.array(texts))
@@ -163,40 +196,76 @@ def test_near_duplicates_reach_the_recall(spark):
     assert all(want[a] == want[b] for a in range(len(texts)) for b in range(a) if got[a] == got[b])
 
 
+def within(a, b, most):
+    """Whether the Levenshtein distance is at most most, by the table's band."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        lo, hi = max(1, i - most), min(len(b), i + most)
+        new = [most + 1] * (len(b) + 1)
+        new[0] = i
+        for j in range(lo, hi + 1):
+            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != b[j - 1]))
+        row = new
+        if min(row) > most:
+            return False
+    return row[-1] <= most
+
+
 def test_line_dedup_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = read("documents")
+    r = random.Random(9)
+    varied = []
+    for d in texts[:40]:
+        for line in d[1].split("\n")[:4]:
+            w = line.split(" ")
+            if len(w) > 12:
+                w[r.randrange(len(w))] = r.choice(("zebra", "quartz", "vivid"))
+                varied.append(" ".join(w))
+    rows = [(d[0], d[1]) for d in texts] + [(10_000 + k, t) for k, t in enumerate(varied)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = {x.doc_id: x.text.split("\n") for x in line_dedup.dedup_lines(docs).collect()}
-    norm = lambda line: tuple("".join(c if c.isalnum() else " " for c in line.lower()).split())
+    norm = lambda line: " ".join("".join(c if c.isalnum() else " " for c in line.lower()).split())
     first, exact = set(), 0
-    for d in read("documents"):
-        lines = d[1].split("\n")
-        assert all(x in lines for x in out[d[0]] if x)
-        for x in lines:
-            # A repeat of the same words never stays twice.
-            if len(x) >= 21 and norm(x):
-                exact += norm(x) in first
-                first.add(norm(x))
-    kept = [norm(x) for lines in out.values() for x in lines if len(x) >= 21 and norm(x)]
+    for i, t in rows:
+        lines = t.split("\n")
+        assert all(x in lines for x in out[i] if x)
+        for x in filter(None, map(norm, lines)):
+            exact += x in first
+            first.add(x)
+    # A repeat of the same words never stays twice, however short.
+    kept = [norm(x) for lines in out.values() for x in lines if norm(x)]
     assert len(kept) == len(set(kept)) and exact > 0
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    lines = sorted(x for x in first if len(x) >= 5)
-    _, label = line_dedup.line_groups(docs)
-    groups = label.count()
-    similar = 0
-    for k, a in enumerate(lines):
-        for b in lines[:k]:
-            most = int(0.15 * max(len(a), len(b)))
-            if abs(len(a) - len(b)) <= most and len(set(a) & set(b)) >= 0.7 * max(len(set(a)), len(set(b))) and distance(a, b) <= most:
-                similar += 1
-    assert groups >= similar  # at least two nodes for a pair, fewer in larger groups
+    lines = sorted(first, key=len)
+    data, offsets = simhash.buffers(pa.array(lines))
+    _, h, bound = simhash.words(data, offsets)
+    node, fp = simhash.sequence_hash(h, bound).view(np.int64), simhash.fingerprints(h, bound)
+    label = {x.node: x.label for x in line_dedup.line_groups(docs)[1].collect()}
+    same = lambda a, b: label.get(int(node[a]), -1) == label.get(int(node[b]), -2)
+    bag = np.zeros((len(lines), 400), np.int32)
+    for k, x in enumerate(lines):
+        np.add.at(bag[k], [ord(c) % 400 for c in x], 1)
+    close = [[], []]
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines)):
+            most = int(0.1 * len(lines[b]) + 1e-9)
+            if len(lines[b]) - len(lines[a]) > most:
+                break
+            if np.abs(bag[a] - bag[b]).sum() <= 2 * most and within(lines[a], lines[b], most):
+                close[int(np.bitwise_count(fp[a] ^ fp[b]).sum()) < 12].append((a, b))
+    far, near = close
+    # Twelve blocks can't all be hit by fewer than twelve bits; of all similar pairs, at any distance, nine tenths are found.
+    assert len(near) > 40 and all(same(a, b) for a, b in near)
+    assert sum(same(a, b) for a, b in near + far) >= 0.9 * len(near + far)
+    # Nothing that isn't connected through similar pairs shares a group.
+    want = brute_groups(len(lines), near + far)
+    by_label = {}
+    for k in range(len(lines)):
+        if int(node[k]) in label:
+            by_label.setdefault(label[int(node[k])], set()).add(want[k])
+    assert by_label and all(len(v) == 1 for v in by_label.values())
 
 
 def test_multi_sequence_order_is_that_of_all_cells():
@@ -208,25 +277,29 @@ def test_multi_sequence_order_is_that_of_all_cells():
     assert np.allclose(np.take_along_axis(d.reshape(40, -1), got, 1), np.take_along_axis(d.reshape(40, -1), want, 1), atol=1e-5)
 
 
-def test_lines_at_the_limit_are_found_as_often_as_promised(spark):
-    given = {k: p.default for k, p in inspect.signature(line_dedup.line_groups).parameters.items() if k != "docs"}
+@pytest.mark.parametrize("kind", ["lines", "texts"])
+@pytest.mark.parametrize("rows_in_bucket", [1_000_000, 500])
+def test_pairs_at_the_limit_are_found_as_often_as_promised(spark, monkeypatch, kind, rows_in_bucket):
+    """Both levels, with keys as long as 20,000 nodes need and as 2,000 times as many would."""
+    monkeypatch.setattr(forest, "ROWS_IN_BUCKET", rows_in_bucket)
+    of = {"lines": line_dedup.line_groups, "texts": near_dedup.groups}[kind]
+    given = {k: p.default for k, p in inspect.signature(of).parameters.items() if k != "docs"}
     r = np.random.default_rng(6)
     bits = r.integers(0, 2, (20_000, 128), dtype=np.uint8)
     near = bits[:300].copy()
     for row in near:
         row[r.permutation(128)[: given["limit"]]] ^= 1
     fp = np.packbits(np.concatenate((bits, near)), axis=1).view(np.int64)
-    nodes = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(fp)], "node long, f0 long, f1 long")
-    lines = forest.Forest(nodes, given["limit"], given["reach"], given["target"], given.get("occupancy", 64))
-    found = {(e.a, e.b) for e in lines.edges().collect()}
-    assert np.mean([(k, 20_000 + k) in found for k in range(300)]) >= given["target"] - 0.05
+    nodes = spark.createDataFrame([(k, int(a), int(b), 100) for k, (a, b) in enumerate(fp)], "node long, f0 long, f1 long, size long")
+    more = {"least": 10, "occupancy": 4, "blocks": True, "ratio": 0.9} if kind == "lines" else {"least": 5, "occupancy": 64}
+    found = {(e.a, e.b) for e in forest.Forest(nodes, given["limit"], given["target"], **more).edges().collect()}
+    assert np.mean([(k, 20_000 + k) in found for k in range(300)]) >= given["target"] - 0.04
+    assert all(int(np.bitwise_count(fp[a].view(np.uint64) ^ fp[b].view(np.uint64)).sum()) <= given["limit"] for a, b in found)
 
 
-def test_near_duplicates_reach_their_limit():
-    given = {k: p.default for k, p in inspect.signature(near_dedup.groups).parameters.items() if k != "docs"}
-    for n in (10**3, 10**5, 10**7):
-        depth, how_many = simhash.tries(n, given["reach"], given["target"], 16)
-        assert 1 - (1 - simhash.survives(depth, given["limit"])) ** how_many >= given["target"] - 1e-9
+def test_the_number_of_shuffled_keys_grows_slowly():
+    counts = [[simhash.tries(max(least, int(np.ceil(np.log2(n / forest.ROWS_IN_BUCKET)))), limit, target) for n in (10**4, 10**8, 10**11)] for least, limit, target in ((10, 19, 0.91), (5, 24, 0.955))]
+    assert counts[0][0] == counts[0][1] <= 14 and counts[0][2] <= 50 and counts[1][0] <= 10 and counts[1][2] <= 120
 
 
 def test_vectors_reach_the_recall(spark):

@@ -50,6 +50,37 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def nodes_of(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, nodes): nodes has each node of rows (node, check, ...) once with the given columns of one of its rows.
+
+    node and check are two hashes of the same content. Where contents of different check share a node, all but the
+    one with the least check get a node of their own, so nodes are as distinct as 128 bits are. There are n^2 / 2^65 such
+    nodes among n, so the list of them is small at any size.
+    """
+    one = lambda r: cut(r.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi"), *[F.first(c).alias(c) for c in columns]), "nodes")
+    nodes = one(rows)
+    clash = nodes.where("lo <> hi").select(F.col("node").alias("clashing"), "lo")
+    if clash.limit(1).count():
+        apart = rows.join(F.broadcast(clash), F.col("node") == F.col("clashing"), "left")
+        rows = apart.withColumn("node", F.when(F.col("check") != F.col("lo"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("clashing", "lo")
+        nodes = one(rows)
+    return rows, nodes.drop("lo", "hi")
+
+
+def prefix_for(df: DataFrame) -> str:
+    """A beginning that no column of df has, for columns of our own beside them."""
+    own = "__w"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own += "_"
+    return own
+
+
+def other_columns(df: DataFrame, *used: str) -> Column:
+    """A hash of all columns but those used, which decides between rows that agree in those: the choice doesn't depend on their order."""
+    fields = [f for f in df.schema.fields if f.name not in used]
+    return F.xxhash64(F.lit(0), *[F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in fields])
+
+
 def words_in(text: str | Column) -> Column:
     """White-space separated words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")

@@ -90,10 +90,7 @@ def features(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> tuple[n
     popular = np.diff(np.append(turn, len(at)))
     at = at[turn][popular >= POPULAR]
     at = at[level[at] >= LEAST_ENTROPY]
-    up, down = simhash.powers(n + 1)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=c[1:])
-    h = simhash.mix((c[at + WINDOW] - c[at]) * down[at], 3)
+    h = simhash.run_hashes(data, at, np.full(len(at), WINDOW, np.int64))
     text = np.searchsorted(offsets, at, "right") - 1
     order = np.lexsort((np.arange(len(h)), h, text))
     fresh = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1]))) if len(h) else np.zeros(0, bool)

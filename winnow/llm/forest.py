@@ -1,19 +1,19 @@
-"""An LSH forest over SimHash fingerprints: tries over permuted bits, matched bucket by bucket without a join."""
+"""Matching of SimHash fingerprints in two levels: buckets that are shuffled, and tries over further bits inside each bucket, in memory."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import simhash
 
-ROWS_PER_PART = 400_000
-WIDE = 4096
-
-
-def _distance(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[i, 0] ^ fp[j, 0]).astype(np.int32) + np.bitwise_count(fp[i, 1] ^ fp[j, 1])
+#: Rows of a bucket that one task holds: some 50 MB. More nodes make the buckets' keys longer.
+ROWS_IN_BUCKET = 1_000_000
+#: Rows of a bucket above which those of its largest group aren't compared with each other.
+WIDE = 512
 
 
 def _distance(fp: np.ndarray, i: np.ndarray, j: np.ndarray, limit: int) -> np.ndarray:
@@ -82,81 +82,121 @@ def _largest_first(key: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.n
     return order[again], np.diff(np.append(np.flatnonzero(new_key), len(k))), length[head]
 
 
-def bucket_edges(key: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (i, j) of equal key within limit bits, enough of them to join all such rows into groups.
+def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and number of rows of each run of equal keys."""
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return begin, np.diff(np.append(begin, len(key)))
+
 
-    Within a bucket, rows are put in the order of further bits, where those with the deepest common prefixes are
-    neighbours. Neighbours are verified first, which joins a group of copies in linear time however dense it is.
-    The climb to the bucket itself then compares all rows at every distance; in buckets of more than WIDE rows it
-    tries only what is not joined yet, rows outside the bucket's largest group against the rows before them, so that
-    a crowd of copies costs no more than its size. No pair that could join two groups is left out.
+def bucket_edges(key: np.ndarray, fp: np.ndarray, limit: int, label: np.ndarray | None = None, size: np.ndarray | None = None, ratio: float = 0.0, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (i, j) of equal key within limit bits, enough of them to join all such rows into groups, and the rows' labels after that.
+
+    label: groups that are joined already (the least row of each). With size, only pairs matter whose smaller size is at least
+    ratio times the larger. Rows that agree in the most further bits are verified first, which joins a group of
+    copies in linear time however dense it is. The climb to the bucket itself then compares all rows at every
+    distance, of buckets that still hold several groups; in those of more than WIDE rows it tries rows outside the bucket's
+    largest group against the rows before them. No pair that could join two groups is left out.
     """
-    room = np.uint64(63 - int(key.max(initial=0)).bit_length())
-    order = np.argsort((key.astype(np.uint64) << room) | (fp[:, 0] >> (np.uint64(64) - room)))
-    key, fp = key[order], fp[order]
     n = len(key)
-    label, found = np.arange(n), [(order[:0], order[:0])]
+    label = np.arange(n) if label is None else label
+    none = np.zeros(0, np.int64)
     if n < 2:
-        return found[0]
+        return none, none, label
+    # Rows by key, then by further bits; their labels are positions in that order until the end.
+    room = np.uint64(63 - int(key.max()).bit_length())
+    order = np.argsort((key.astype(np.uint64) << room) | (fp[:, 0] >> (np.uint64(64) - room)))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    least = np.full(n, n)
+    np.minimum.at(least, label, place)
+    key, fp, label = key[order], fp[order], least[label[order]]
+    size = None if size is None else size[order]
+    found = [(none, none)]
     for gap in (1, 2):
-        i = np.flatnonzero(key[gap:] == key[:-gap]) if n > gap else order[:0]
+        i = np.flatnonzero(key[gap:] == key[:-gap]) if n > gap else none
         i = i[label[i] != label[i + gap]]
         i = i[_distance(fp, i, i + gap, limit)]
         i, j, label = merged(i, i + gap, label)
         found.append((i, j))
-    # Buckets of moderate size, the largest first, so that those still wide enough for a gap are a prefix.
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    size = np.diff(np.append(begin, n))
-    wide = size > WIDE
-    some = np.flatnonzero(~wide & (size > 1))
-    some = some[np.argsort(-size[some], kind="stable")]
-    rows = np.repeat(begin[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(int(size[some].sum()))
-    bucket, f0, f1 = np.repeat(np.arange(len(some)), size[some]), fp[rows, 0].copy(), fp[rows, 1].copy()
-    active = np.cumsum(np.bincount(size[some], minlength=WIDE + 2)[::-1] * np.arange(WIDE + 1, -1, -1))[::-1]
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    for gap in range(1, int(size[some].max(initial=0))):
-        m = int(active[gap + 1])
-        half = np.bitwise_count(f0[: m - gap] ^ f0[gap:m])
-        at = np.flatnonzero(half <= limit)
-        at = at[bucket[at] == bucket[at + gap]]
-        at = at[half[at].astype(np.int16) + np.bitwise_count(f1[at] ^ f1[at + gap]) <= limit]
-        i, j = rows[at], rows[at + gap]
-        fresh = label[i] != label[j]
-        hits.append((i[fresh], j[fresh]))
-        held += int(fresh.sum())
-        if held > 20_000:
+    begin, many = _buckets(key)
+    mixed = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
+    # Sizes narrow what a row is compared with, so buckets may be larger then.
+    wide = (many > (WIDE if size is None else 16 * WIDE)) & mixed
+    some = np.flatnonzero(mixed & ~wide)
+    rows = np.repeat(begin[some] - (np.cumsum(many[some]) - many[some]), many[some]) + np.arange(int(many[some].sum()))
+    bucket = np.repeat(np.arange(len(some)), many[some])
+    if len(rows):
+        if size is None:
+            reach = many[some] - 1
+        else:
+            rows = rows[np.lexsort((size[rows], bucket))]
+            s = size[rows].astype(np.float64)
+            top = s.max() + 1
+            # In a bucket ordered by size, a row's partners are the rows up to its size divided by ratio.
+            last = np.searchsorted(bucket * 2 * top + s, bucket * 2 * top + np.minimum(s / max(ratio, 1e-9) + 1e-6, 1.5 * top), "right") - 1
+            reach = np.maximum.reduceat(last - np.arange(len(rows)), np.cumsum(many[some]) - many[some])
+        # Buckets with the longest reach first, so that those that a gap still concerns are a prefix.
+        by = np.argsort(-reach, kind="stable")
+        start = np.cumsum(many[some]) - many[some]
+        n_of = many[some][by]
+        rows = rows[np.repeat(start[by] - (np.cumsum(n_of) - n_of), n_of) + np.arange(len(rows))]
+        reach, bucket = reach[by], np.repeat(np.arange(len(some)), n_of)
+        ends = np.cumsum(n_of)
+        f0, f1 = fp[rows, 0].copy(), fp[rows, 1].copy()
+        hits: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for gap in range(1, int(reach[0]) + 1):
+            m = int(ends[np.searchsorted(-reach, -gap, "right") - 1])
+            half = np.bitwise_count(f0[: m - gap] ^ f0[gap:m])
+            at = np.flatnonzero(half <= limit)
+            at = at[bucket[at] == bucket[at + gap]]
+            at = at[half[at].astype(np.int16) + np.bitwise_count(f1[at] ^ f1[at + gap]) <= limit]
+            i, j = rows[at], rows[at + gap]
+            fresh = label[i] != label[j]
+            hits.append((i[fresh], j[fresh]))
+            held += int(fresh.sum())
+            if held > 20_000:
+                i, j, label = merged(*(np.concatenate(x) for x in zip(*hits)), label)
+                found.append((i, j))
+                hits, held = [], 0
+        if held:
             i, j, label = merged(*(np.concatenate(x) for x in zip(*hits)), label)
             found.append((i, j))
-            hits, held = [], 0
-    if held:
-        i, j, label = merged(*(np.concatenate(x) for x in zip(*hits)), label)
-        found.append((i, j))
     if wide.any():
-        rows = np.flatnonzero(np.repeat(wide, size))
+        rows = np.flatnonzero(np.repeat(wide, many))
         arranged, sizes, head = _largest_first(key[rows], label[rows])
         arranged = rows[arranged]
         for i, j in _later_pairs(sizes, head, block):
             i, j = arranged[i], arranged[j]
-            ok = _distance(fp, i, j, limit)
-            i, j = i[ok], j[ok]
             ok = label[i] != label[j]
+            i, j = i[ok], j[ok]
+            if size is not None:
+                ok = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]) - 1e-6
+                i, j = i[ok], j[ok]
+            ok = _distance(fp, i, j, limit)
             if ok.any():
                 i, j, label = merged(i[ok], j[ok], label)
                 found.append((i, j))
     i, j = (np.concatenate(x) for x in zip(*found))
-    return order[i], order[j]
+    back = np.empty(n, np.int64)
+    back[order] = order[label]
+    least = np.full(n, n)
+    np.minimum.at(least, back, np.arange(n))
+    return order[i], order[j], least[back]
 
 
-def cross_pairs(key: np.ndarray, label: np.ndarray, fp: np.ndarray, limit: int, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows (i, j) of equal key and different label within limit bits; rows of a bucket's largest label are not paired with each other."""
+def cross_pairs(key: np.ndarray, label: np.ndarray, fp: np.ndarray, limit: int, size: np.ndarray | None = None, ratio: float = 0.0, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows (i, j) of equal key and different label within limit bits (and, with size, of sizes within ratio); rows of a bucket's largest label are not paired with each other."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     if len(key) > 1:
-        arranged, size, head = _largest_first(key, label)
-        for i, j in _later_pairs(size, head, block):
+        arranged, many, head = _largest_first(key, label)
+        for i, j in _later_pairs(many, head, block):
             i, j = arranged[i], arranged[j]
             ok = label[i] != label[j]
             i, j = i[ok], j[ok]
+            if size is not None:
+                ok = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j]) - 1e-6
+                i, j = i[ok], j[ok]
             ok = _distance(fp, i, j, limit)
             found.append((i[ok], j[ok]))
     i, j = (np.concatenate(x) for x in zip(*found))
@@ -164,62 +204,101 @@ def cross_pairs(key: np.ndarray, label: np.ndarray, fp: np.ndarray, limit: int,
 
 
 class Forest:
-    """The tries over nodes (node, f0, f1); depth and number follow from how many nodes there are.
-
-    A pair that differs in reach bits shares a prefix in some trie with chance target. occupancy is how many nodes
-    share a prefix on average: a higher one means shorter prefixes, fewer tries to shuffle and more comparisons.
+    """Tries over nodes (node, f0, f1 and, with a ratio, size) that find the pairs within limit bits, each with chance target at least.
+
+    Level one: every node goes to how_many buckets by depth bits each, which are shuffled. A bucket holds about
+    ROWS_IN_BUCKET rows at most (least bits at least), so depth, and with it how_many, grows with the logarithm of the nodes above
+    that only. Blocks: the bits of the buckets are consecutive blocks of one permutation, and k + 1 blocks
+    can't all be hit by k differing bits; otherwise each bucket has a permutation of its own.
+    Level two: within a bucket, tries over further permuted bits, as deep as that bucket's own crowd calls for (about
+    occupancy rows share a prefix), and as many as it takes. A bucket with few rows is climbed to its root at once.
     """
 
-    def __init__(self, nodes: DataFrame, limit: int, reach: int, target: float, occupancy: float = 4.0):
-        self.nodes, self.limit, self.count = nodes, limit, nodes.count()
-        self.depth, self.tries = simhash.tries(self.count, reach, target, occupancy)
+    def __init__(self, nodes: DataFrame, limit: int, target: float, least: int, occupancy: int, blocks: bool = False, ratio: float = 0.0):
+        self.nodes, self.limit, self.count, self.ratio, self.occupancy = nodes, limit, nodes.count(), ratio, occupancy
+        # The tries inside a bucket aren't shuffled, so little is left for them to miss; both levels together reach the target.
+        self.inner = 1 - (1 - target) / 10
+        self.depth = max(least, math.ceil(math.log2(max(1, self.count) / ROWS_IN_BUCKET)))
+        self.how_many = simhash.tries(self.depth, limit, target / self.inner)
+        rng = np.random.default_rng(5)
+        self.places = []
+        while len(self.places) < self.how_many:
+            order = rng.permutation(simhash.BITS)
+            self.places += [order[k : k + self.depth] for k in range(0, simhash.BITS - self.depth + 1 if blocks else 1, self.depth)]
+        self.places = self.places[: self.how_many]
+        self.columns = ["node", "f0", "f1"] + ["size"] * (ratio > 0)
 
     def _spread(self, nodes: DataFrame, count: int) -> DataFrame:
-        """(part, rows): for each slice of nodes and each part of the keys, its rows as one binary value of 64-bit columns (key, node, f0, f1 and label, if there).
+        """(part, rows): for each slice of nodes and each part of the keys, its rows as one binary value of columns (32 bits of key and of size, then the others).
 
-        Some hundred thousand small rows travel as one value, which the JVM moves as it is.
+        Some hundred thousand small rows travel as one value, which the JVM moves as it is. A part holds keys of one trie.
         """
-        depth, how_many = self.depth, self.tries
-        parts = max(1, -(-count * how_many // ROWS_PER_PART))
+        places, how_many, sized = self.places, self.how_many, self.ratio > 0
+        each = max(1, min(1 << self.depth, -(-count // ROWS_IN_BUCKET * 4), -(-count // 50_000)))
 
         def run(batches):
             for batch in batches:
                 for lo in range(0, batch.num_rows, 20_000):
                     columns = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.slice(lo, 20_000).columns])
                     fp = np.ascontiguousarray(columns[1:3].T)
-                    keys = list(simhash.prefixes(fp, depth, how_many))
-                    key = np.concatenate(keys)
-                    part = (simhash.mix(key) % np.uint64(parts)).astype(np.int32)
-                    order = np.argsort(part, kind="stable")
-                    row = order % len(fp)
-                    cut = np.searchsorted(part[order], np.arange(parts + 1))
-                    table = np.concatenate((key[order][None], columns[:, row]))
-                    full = np.flatnonzero(np.diff(cut))
-                    yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([table[:, cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())], ["part", "rows"])
-
-        return nodes.mapInArrow(run, "part int, rows binary").repartition(parts, "part")
-
-    def _matched(self, spread: DataFrame, width: int) -> DataFrame:
-        limit = self.limit
+                    size, columns = (columns[3].astype(np.uint32), np.delete(columns, 3, axis=0)) if sized else (np.zeros(len(fp), np.uint32), columns)
+                    for t in range(how_many):
+                        key = simhash.bits_of(fp, places[t])
+                        part = (simhash.mix(key) % np.uint64(each)).astype(np.int32)
+                        order = np.argsort(part, kind="stable")
+                        cut = np.searchsorted(part[order], np.arange(each + 1))
+                        short, long = np.stack((key[order].astype(np.uint32), size[order])), columns[:, order]
+                        full = np.flatnonzero(np.diff(cut))
+                        values = [short[:, cut[k] : cut[k + 1]].tobytes() + long[:, cut[k] : cut[k + 1]].tobytes() for k in full]
+                        yield pa.RecordBatch.from_arrays([pa.array((t * each + full).astype(np.int32)), pa.array(values, pa.binary())], ["part", "rows"])
+
+        self.parts_of_a_trie = each
+        return nodes.mapInArrow(run, "part int, rows binary").repartition(each * how_many, "part")
+
+    def _matched(self, spread: DataFrame, labelled: bool) -> DataFrame:
+        limit, ratio, occupancy, target, each, places = self.limit, self.ratio, self.occupancy, self.inner, self.parts_of_a_trie, self.places
+
+        def pairs(trie, key, fp, size, label):
+            key_of = np.argsort(key, kind="stable")
+            begin, many = _buckets(key[key_of])
+            depth = np.ceil(np.log2(np.maximum(many / occupancy, 1))).astype(np.int64)
+            free = np.setdiff1d(np.arange(simhash.BITS), places[trie])
+            for d in np.unique(depth):
+                some = np.flatnonzero(depth == d)
+                rows = key_of[np.repeat(begin[some] - (np.cumsum(many[some]) - many[some]), many[some]) + np.arange(int(many[some].sum()))]
+                bucket = np.repeat(np.arange(len(some), dtype=np.uint64), many[some])
+                f, s, group = fp[rows], None if size is None else size[rows], None
+                rng = np.random.default_rng(100 + trie)
+                for _ in range(simhash.tries(int(d), limit, target, len(free)) if d else 1):
+                    k = (bucket << np.uint64(d)) | simhash.bits_of(f, rng.permutation(free)[:d])
+                    if labelled:
+                        i, j = cross_pairs(k, label[rows], f, limit, s, ratio)
+                    else:
+                        i, j, group = bucket_edges(k, f, limit, group, s, ratio)
+                    if len(i):
+                        yield rows[i], rows[j]
 
         def run(batches):
-            parts: dict[int, list[np.ndarray]] = {}
+            parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             for batch in batches:
                 for part, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    parts.setdefault(part, []).append(np.frombuffer(rows.as_buffer(), np.uint64).reshape(width, -1))
+                    data = np.frombuffer(rows.as_buffer(), np.uint8)
+                    n = len(data) // (4 + 4 + 8 * (4 if labelled else 3))
+                    parts.setdefault(part, []).append((data[: 8 * n].view(np.uint32).reshape(2, n), data[8 * n :].view(np.uint64).reshape(-1, n)))
             for part in sorted(parts):
-                key, node, f0, f1, *label = np.concatenate(parts.pop(part), axis=1)
-                fp, node = np.stack([f0, f1], axis=1), node.view(np.int64)
-                i, j = cross_pairs(key, label[0], fp, limit) if label else bucket_edges(key, fp, limit)
-                if len(i):
+                short, long = (np.concatenate(x, axis=1) for x in zip(*parts.pop(part)))
+                node, f0, f1, *label = long
+                size = short[1].astype(np.int64) if ratio else None
+                node = node.view(np.int64)
+                for i, j in pairs(part // each, short[0].astype(np.uint64), np.stack([f0, f1], axis=1), size, label[0] if labelled else None):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
         return spread.mapInArrow(run, "a long, b long")
 
     def edges(self) -> DataFrame:
         """Edges (a, b), a < b, within limit bits: enough of them to join all such nodes into groups."""
-        return self._matched(self._spread(self.nodes.select("node", "f0", "f1"), self.count), 4).distinct()
+        return self._matched(self._spread(self.nodes.select(*self.columns), self.count), False).distinct()
 
     def pairs_between(self, labelled: DataFrame) -> DataFrame:
-        """All pairs (a, b), a < b, within limit bits among labelled (node, f0, f1, label) whose labels differ."""
-        return self._matched(self._spread(labelled.select("node", "f0", "f1", "label"), labelled.count()), 5).distinct()
+        """All pairs (a, b), a < b, within limit bits among labelled nodes (their columns and label) whose labels differ."""
+        return self._matched(self._spread(labelled.select(*self.columns, "label"), labelled.count()), True).distinct()

@@ -1,4 +1,4 @@
-"""Line dedup: SimHash of normalised lines, random prefixes of its bits, verified edit similarity, one occurrence of each connected group kept."""
+"""Line dedup: SimHash of normalised lines, a join on pigeonhole blocks, verified edit similarity, one occurrence of each connected group kept."""
 
 from __future__ import annotations
 
@@ -8,27 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, cut
+from .common import components, cut, nodes_of, other_columns, prefix_for
 from .forest import Forest
 
-MIN_CHARS, MIN_WORDS = 20, 5
 _NO_ID = 2**63 - 1
 
 
-def _worded(batches):
-    """(node, words) of (node, text): each word as one of the 53,248 characters that take three bytes, below the surrogates."""
-    for batch in batches:
-        for part in simhash.chunks(batch, "text"):
-            data, offsets = simhash.buffers(part.column(1))
-            _, h, first = simhash.words(data, offsets)
-            c = (h % np.uint64(0xD000)).astype(np.uint32) + 0x800
-            out = np.stack([0xE0 | (c >> 12), 0x80 | ((c >> 6) & 63), 0x80 | (c & 63)], axis=1).astype(np.uint8)
-            text = pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer((3 * first).astype(np.int64)), pa.py_buffer(out.tobytes()))
-            yield pa.RecordBatch.from_arrays([part.column(0), text.cast(pa.string())], ["node", "words"])
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, text_key, text): the id (null ids last) and a hash of the text name a row."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_key"), F.col("text").cast("string").alias("text"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, text_key, line_no, node, f0, f1, n_words) of every line of at least MIN_CHARS bytes that holds a word; node is a hash of its normalised words."""
+    """(doc, text_key, line_no, node, check, f0, f1, size) of every line that holds a word; node and check are hashes of its normalised words, size counts their characters."""
 
     def run(batches):
         for batch in batches:
@@ -41,48 +33,48 @@ def _lines(docs: DataFrame) -> DataFrame:
                 _, h, first = simhash.words(data, bounds)
                 # The bound of a line that follows a line end stands on that line end, which is no part of a word.
                 doc = np.searchsorted(offsets, bounds[:-1], "right") - 1
-                line_no = np.searchsorted(newline, bounds[:-1], "right") - np.searchsorted(newline, offsets[doc], "left")
                 # A text that begins with a line end has an empty first line, which has no bound of its own.
-                n_words = np.diff(first)
-                ok = (n_words > 0) & (np.diff(bounds) >= MIN_CHARS)
-                node = simhash.sequence_hash(h, first)
+                line_no = np.searchsorted(newline, bounds[:-1], "right") - np.searchsorted(newline, offsets[doc], "left")
+                take = np.flatnonzero(np.diff(first) > 0)
                 fp = simhash.fingerprints(h, first)
-                take = np.flatnonzero(ok)
+                columns = [simhash.sequence_hash(h, first), simhash.sequence_hash(h, first, 11), fp[:, 0], fp[:, 1]]
                 doc = pa.array(doc[take])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(doc), part.column(1).take(doc), pa.array(line_no[take].astype(np.int32)), pa.array(node[take].view(np.int64)), pa.array(fp[take, 0].view(np.int64)), pa.array(fp[take, 1].view(np.int64)), pa.array(n_words[take].astype(np.int32))],
-                    ["doc", "text_key", "line_no", "node", "f0", "f1", "n_words"],
+                    [part.column(0).take(doc), part.column(1).take(doc), pa.array(line_no[take].astype(np.int32)), *[pa.array(c[take].view(np.int64)) for c in columns], pa.array(simhash.characters(data, bounds)[take])],
+                    ["doc", "text_key", "line_no", "node", "check", "f0", "f1", "size"],
                 )
 
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_key"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc long, text_key long, line_no int, node long, f0 long, f1 long, n_words int")
+    return _keyed(docs).mapInArrow(run, "doc long, text_key long, line_no int, node long, check long, f0 long, f1 long, size long")
+
+
+def _normalised(batches):
+    for batch in batches:
+        for part in simhash.chunks(batch, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), simhash.normalised(*simhash.buffers(part.column(1)))], ["node", "line"])
 
 
-def line_groups(docs: DataFrame, similarity: float = 0.85, limit: int = 24, reach: int = 24, target: float = 0.92, occupancy: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """The table of lines (see _lines) and (node, label) of those nodes that stand in a group of several.
+def line_groups(docs: DataFrame, similarity: float = 0.9, limit: int = 19, target: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """The table of lines (see _lines) and (node, label) of those nodes that stand in a group of several; parameters as in dedup_lines().
 
     Nodes within limit bits are first joined by as few pairs as it takes, and these verified. Where all of a
     group's pairs hold there is nothing more to find; the groups that fell apart are matched again, and every pair
     between their parts verified. So a crowd of copies costs no more than its size, and no candidate is left out.
-    occupancy: lines that share a prefix; many, as a short prefix takes few tries, each of which shuffles all lines.
     """
-    lines = cut(_lines(docs), "lines")
-    nodes = cut(lines.where(f"n_words >= {MIN_WORDS}").groupBy("node").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), *[F.first(c).alias(c) for c in ("doc", "text_key", "line_no")]), "nodes")
-    forest = Forest(nodes, limit, reach, target, occupancy)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_key"), F.col("text").cast("string").alias("text"))
+    lines, nodes = nodes_of(cut(_lines(docs), "lines"), ["f0", "f1", "size", "doc", "text_key", "line_no"])
+    forest = Forest(nodes, limit, target, least=10, occupancy=4096, blocks=True, ratio=similarity)
 
-    def words_of(wanted: DataFrame) -> DataFrame:
-        """(node, words): the line as one character for each word, fetched from one document that has it."""
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(node, line): the normalised line, fetched from one document that has it."""
         where = nodes.join(wanted, "node", "left_semi").select("node", "doc", "text_key", "line_no").groupBy("doc", "text_key").agg(F.collect_list(F.struct("line_no", "node")).alias("want"))
-        found = keyed.join(where, ["doc", "text_key"]).withColumn("parts", F.split("text", "\n")).select("parts", F.explode("want").alias("w"))
-        return found.select(F.col("w.node").alias("node"), F.element_at("parts", F.col("w.line_no") + 1).alias("text")).mapInArrow(_worded, "node long, words string")
+        found = _keyed(docs).join(where, ["doc", "text_key"]).withColumn("parts", F.split("text", "\n")).select("parts", F.explode("want").alias("w"))
+        return found.select(F.col("w.node").alias("node"), F.element_at("parts", F.col("w.line_no") + 1).alias("text")).mapInArrow(_normalised, "node long, line string")
 
     close = cut(forest.edges(), "close")
-    words = cut(words_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct()).dropDuplicates(["node"]), "close-lines")
+    texts = cut(texts_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct()).dropDuplicates(["node"]), "close-lines")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        longest = F.greatest(F.length("x"), F.length("y"))
-        both = pairs.join(words.toDF("a", "x"), "a").join(words.toDF("b", "y"), "b").withColumn("most", F.floor((1 - similarity) * longest).cast("int"))
+        most = F.floor((1 - similarity) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").withColumn("most", most)
         # With a limit the distance is found in a band of the table; beyond the limit it is -1.
         return both.where(F.expr("abs(length(x) - length(y)) <= most")).where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
 
@@ -91,7 +83,7 @@ def line_groups(docs: DataFrame, similarity: float = 0.85, limit: int = 24, reac
     part = components(first)
     placed = cut(group.join(part, "node", "left").select("node", "whole", F.coalesce("label", "node").alias("label")), "parts")
     split = placed.groupBy("whole").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("whole")
-    again = cut(placed.join(split, "whole", "left_semi").join(nodes.select("node", "f0", "f1"), "node").select("node", "f0", "f1", "label"), "again")
+    again = cut(placed.join(split, "whole", "left_semi").join(nodes.select("node", "f0", "f1", "size"), "node").select("node", "f0", "f1", "size", "label"), "again")
     second = cut(verified(forest.pairs_between(again)), "verified")
     return lines, components(first.union(second))
 
@@ -106,35 +98,41 @@ def _drops(docs: DataFrame, **params) -> DataFrame:
     return cut(later.groupBy("doc", "text_key").agg(F.collect_list("line_no").alias("gone")), "drops")
 
 
-def _cleaned(docs: DataFrame, **params) -> DataFrame:
-    """docs with __w_text (the text without repeated lines), __w_lines and __w_gone; repeated rows once."""
-    gone = _drops(docs, **params).toDF("__w_d", "__w_t", "__w_list")
-    keyed = docs.withColumn("__w_a", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__w_b", F.xxhash64(F.coalesce("text", F.lit("\0null"))))
-    joined = keyed.join(gone, (F.col("__w_a") == F.col("__w_d")) & (F.col("__w_b") == F.col("__w_t")), "left")
-    once = joined.withColumn("__w_n", F.row_number().over(Window.partitionBy("__w_a", "__w_b").orderBy(F.lit(0)))).where("__w_n = 1")
+def _cleaned(docs: DataFrame, own: str, **params) -> DataFrame:
+    """docs, repeated rows once, with columns of our own that begin with own: _text (the text without repeated lines), _lines and _gone."""
+    name = lambda c: F.col(own + c)
+    gone = _drops(docs, **params).toDF(own + "d", own + "t", own + "list")
+    keyed = docs.withColumn(own + "a", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(own + "b", F.xxhash64(F.coalesce("text", F.lit("\0null"))))
+    joined = keyed.join(gone, (name("a") == name("d")) & (name("b") == name("t")), "left")
+    same = Window.partitionBy(own + "a", own + "b").orderBy(other_columns(docs, "doc_id", "text"))
+    once = joined.withColumn(own + "n", F.row_number().over(same)).where(name("n") == 1)
     parts = F.split(F.col("text").cast("string"), "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__w_list", i)), "\n")
-    return once.withColumn("__w_text", F.when(F.col("__w_list").isNull(), F.col("text")).otherwise(left)).withColumn("__w_gone", F.coalesce(F.size("__w_list"), F.lit(0))).withColumn("__w_lines", F.coalesce(F.size(parts), F.lit(0)))
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(name("list"), i)), "\n")
+    return once.withColumn(own + "_text", F.when(name("list").isNull(), F.col("text")).otherwise(left)).withColumn(own + "_gone", F.coalesce(F.size(own + "list"), F.lit(0))).withColumn(own + "_lines", F.coalesce(F.size(parts), F.lit(0)))
 
 
 def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for every document of docs (doc_id, text), repeated lines removed.
 
-    Lines of at least MIN_CHARS bytes are compared in lower case and without punctuation. Lines with the same words
-    are repeats. Lines of MIN_WORDS words or more are also repeats if their edit similarity over words (1 - Levenshtein
-    distance / longer line, both counted in words) is at least similarity and at most limit bits of their SimHash differ; candidates share one of
-    several random prefixes of its bits, as long as the number of distinct lines calls for and as many as find a pair
-    reach bits apart (limit, so that every pair counts) with chance target. Groups are connected, and the occurrence with the least (doc_id, hash of the text, line number) stays (null ids last).
+    Lines, of any length, are compared in lower case, as their words (runs of letters and digits) with one space between. Lines
+    with the same words are repeats. So are lines whose edit similarity, 1 - Levenshtein distance / length of the longer
+    one in characters, is at least similarity and of whose 128 bits of SimHash at most limit differ. Candidates share one of
+    the blocks of bits (12 of 10 bits up to a thousand million lines; beyond, more and longer ones): pairs that differ in
+    fewer bits than there are blocks in a permutation always do, those at limit bits with chance target over both levels of the search. Groups are
+    connected, and the occurrence with the least (doc_id, hash of the text, line number) stays (null ids last).
 
-    Edge cases: a null or empty text stays as it is; lines that are blank, short or without a word are kept; a
-    document of which nothing is left has an empty text here; rows repeated with id and text count once; an empty
-    table gives an empty result; other columns are ignored.
+    Edge cases: a null or empty text stays as it is; lines that are blank or without a word are kept; a
+    document of which nothing is left has an empty text here; rows repeated with id and text count once (the one whose
+    other columns have the least hash stays); an empty table gives an empty result; other columns, whatever their names, are ignored.
     """
-    return _cleaned(docs, **params).select("doc_id", F.col("__w_text").alias("text"), F.col("__w_lines").alias("n_lines"), F.col("__w_gone").alias("n_dropped"))
+    own = prefix_for(docs)
+    return _cleaned(docs, own, **params).select("doc_id", F.col(own + "_text").alias("text"), F.col(own + "_lines").alias("n_lines"), F.col(own + "_gone").alias("n_dropped"))
 
 
 def drop_repeated_lines(docs: DataFrame, **params) -> DataFrame:
     """docs, all columns, with text (and n_chars, if there) changed by dedup_lines(); documents that lost all their text are dropped."""
-    done = _cleaned(docs, **params).where((F.col("__w_gone") == 0) | (F.trim("__w_text") != ""))
-    values = {"text": F.col("__w_text"), "n_chars": F.when(F.col("__w_gone") == 0, F.col("n_chars")).otherwise(F.length("__w_text").cast("long")) if "n_chars" in docs.columns else None}
+    own = prefix_for(docs)
+    gone, text = F.col(own + "_gone"), F.col(own + "_text")
+    done = _cleaned(docs, own, **params).where((gone == 0) | (F.trim(text) != ""))
+    values = {"text": text, "n_chars": F.when(gone == 0, F.col("n_chars")).otherwise(F.length(text).cast("long")) if "n_chars" in docs.columns else None}
     return done.select(*[values[c].alias(c) if values.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])

@@ -12,6 +12,7 @@ pass (one surviving edge per position, then a trace back) and gives exactly what
 from __future__ import annotations
 
 import functools
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import cut
+from .common import cut, discard
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -127,7 +128,7 @@ def joints(path: str = MODEL) -> tuple[np.ndarray, np.ndarray]:
     return narrow.reshape(-1), np.array(sorted(wide), np.int64)
 
 
-def segments(texts: list[str], joint: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
+def segments(texts: list[str], joint: tuple[np.ndarray, np.ndarray], seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
     """Start, end and hash of each segment, the first segment of each text with the count at the end, and the joined string.
 
     Every text that isn't empty gets a space in front; a segment ends where no piece has its last and next character.
@@ -152,22 +153,19 @@ def segments(texts: list[str], joint: tuple[np.ndarray, np.ndarray]) -> tuple[np
         edge[offsets] = True
     bound = np.flatnonzero(edge) if n else np.zeros(1, np.int64)
     start, end = bound[:-1], bound[1:]
-    up, down = simhash.powers(n + 1)
-    c = np.zeros(n + 1, np.uint64)
-    np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * up[:n], out=c[1:])
-    h = simhash.mix((c[end] - c[start]) * down[start], 4)
+    h = simhash.run_hashes(cp, start, end - start, seed)
     return start, end, h, np.searchsorted(start, offsets), whole
 
 
-def distinct_segments(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """(h, segment) of all texts, each once; the space is written as the vocabulary writes it."""
+def distinct_segments(docs: DataFrame, path: str = MODEL, seed: int = 0) -> DataFrame:
+    """(h, segment, other) of all texts, each h once; the space is written as the vocabulary writes it. other differs from segment if two have one hash."""
     joint = joints(path)
 
     def run(batches):
         seen = np.zeros(0, np.uint64)
         for batch in batches:
             for part in simhash.chunks(batch, "text", 1 << 20):
-                start, end, h, _, whole = segments([t or "" for t in part.column(0).to_pylist()], joint)
+                start, end, h, _, whole = segments([t or "" for t in part.column(0).to_pylist()], joint, seed)
                 h, at = np.unique(h, return_index=True)
                 place = np.searchsorted(seen, h)
                 fresh = seen[np.minimum(place, len(seen) - 1)] != h if len(seen) else np.ones(len(h), bool)
@@ -257,8 +255,8 @@ class _Lookup:
         h = table.column("h").to_numpy() if isinstance(table, pa.Table) else table.column("h").to_numpy(zero_copy_only=False)
         return cls(h.view(np.uint64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
 
-    def encode(self, texts: list[str], joint) -> pa.ListArray:
-        _, _, h, first, _ = segments(texts, joint)
+    def encode(self, texts: list[str], joint, seed: int) -> pa.ListArray:
+        _, _, h, first, _ = segments(texts, joint, seed)
         distinct, back = np.unique(h, return_inverse=True)
         at = np.searchsorted(self.h, distinct)[back] if len(h) else np.zeros(0, np.int64)
         start = self.bound[at].astype(np.int64)
@@ -282,16 +280,19 @@ def encode(docs: DataFrame, path: str = MODEL, decoded: bool = False, broadcast_
     spark = docs.sparkSession
     joint = joints(path)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(distinct_segments(plain, path), "segments")
-    if found.where("segment <> other").limit(1).count():
-        raise ValueError("two segments have the same hash; change the seed of the hash")
+    # Two segments of one hash are seen here, and another seed keeps them apart.
+    for seed in itertools.count():
+        found = cut(distinct_segments(plain, path, seed), "segments")
+        if not found.where("segment <> other").limit(1).count():
+            break
+        discard(found)
     table = cut(encoded_segments(found.drop("other"), path), "encoded")
     schema = "doc_id long, ids array<int>, n_ids int" + ", decoded string" * decoded
     names = ["doc_id", "ids", "n_ids"] + ["decoded"] * decoded
     decoder = _decoder(path) if decoded else None
 
     def rows(lookup, part):
-        ids = lookup.encode([t or "" for t in part.column("text").to_pylist()], joint)
+        ids = lookup.encode([t or "" for t in part.column("text").to_pylist()], joint, seed)
         return pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pc.list_value_length(ids)] + ([decoder(ids)] if decoder else []), names)
 
     need = table.agg(F.coalesce(F.sum(16 + 4 * F.size("ids")), F.lit(0))).first()[0]
@@ -312,7 +313,7 @@ def encode(docs: DataFrame, path: str = MODEL, decoded: bool = False, broadcast_
         for batch in batches:
             for part in simhash.chunks(batch, "text", 1 << 20):
                 texts, block = [t or "" for t in part.column("text").to_pylist()], part.column("block").to_numpy()
-                _, _, h, first, _ = segments(texts, joint)
+                _, _, h, first, _ = segments(texts, joint, seed)
                 owner = np.repeat(block, np.diff(first))
                 pair = np.unique(np.stack([owner.astype(np.int64), h.view(np.int64)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["block", "h"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -12,11 +13,11 @@ BITS = 128
 #: Of a word's hash as many bits count; the number of the segment stands above them.
 HASH_BITS = 36
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 #: The eight bits of a byte, one to each byte of a word.
 _LANES = np.array([int.from_bytes(bytes((b >> i) & 1 for i in range(8)), "little") for b in range(256)], dtype=np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Units of a run up to which it is hashed with all others.
+LONG_RUN = 512
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -27,18 +28,30 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd multiplier and of its inverse modulo 2^64."""
-    size = max([1 << max(16, (n - 1).bit_length()), *_powers])
-    if size not in _powers:
-        _powers.clear()
-        pair = []
-        for p in (_P, _P_INV):
-            a = np.full(size, p)
-            a[0] = 1
-            pair.append(np.cumprod(a))
-        _powers[size] = tuple(pair)
-    return _powers[size]
+def run_hashes(units: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes or code points: eight bytes at a time go through the finaliser, so no two positions can cancel out.
+
+    Runs of over LONG_RUN units are left to blake2b, one by one; they are rare.
+    """
+    per = 8 // units.itemsize
+    padded = np.concatenate((units, np.zeros(per, units.dtype)))
+    eight = np.ndarray((len(units) + 1,), np.uint64, padded, strides=(units.itemsize,))
+    h = np.full(len(start), (seed * 0xD6E8FEB86659FD93 + 1) & (2**64 - 1), np.uint64)
+    at = np.flatnonzero(length <= LONG_RUN) if len(length) and length.max() > LONG_RUN else np.arange(len(start))
+    done = 0
+    while len(at):
+        left = length[at] - done
+        shift = (np.maximum(per - left, 0) * (8 * units.itemsize)).astype(np.uint64)
+        x = eight[start[at] + done]
+        # What lies behind the run is shifted out; a run of no units has nothing.
+        x = np.where(left > 0, (x << shift) >> shift, np.uint64(0))
+        h[at] = mix(h[at] ^ x, done)
+        at = at[left > per]
+        done += per
+    for k in np.flatnonzero(length > LONG_RUN):
+        run = units[start[k] : start[k] + length[k]].tobytes()
+        h[k] = int.from_bytes(hashlib.blake2b(run, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return mix(h + length.astype(np.uint64), 3)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,8 +62,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of every word (run of letters and digits), and the first word of each segment of offsets, with the count at the end."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word (run of letters and digits), and the first word of each segment of offsets, with the count at the end."""
     is_word = _WORD[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -59,18 +72,43 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stops = is_word.copy()
     stops[:-1] &= ~is_word[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    up, down = powers(len(data) + 1)
-    c = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=c[1:])
-    return start, mix((c[end] - c[start]) * down[start]), np.searchsorted(start, offsets)
+    return start, end, np.searchsorted(start, offsets)
 
 
-def sequence_hash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the words of each segment in order."""
-    up, down = powers(len(h) + 1)
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every word, and the first word of each segment of offsets, with the count at the end."""
+    start, end, first = _words(data, offsets)
+    return start, run_hashes(data, start, end - start), first
+
+
+def normalised(data: np.ndarray, offsets: np.ndarray) -> pa.StringArray:
+    """The words of each segment with one space between."""
+    start, end, first = _words(data, offsets)
+    length = end - start
+    # Every word but the first of its segment has a space before it.
+    space = np.ones(len(start), np.int64)
+    space[first[:-1][np.diff(first) > 0]] = 0
+    before = np.cumsum(space)
+    out = np.full(int(length.sum()) + int(space.sum()), 32, np.uint8)
+    out[np.arange(int(length.sum())) + np.repeat(before, length)] = data[_WORD[data]]
+    ends = np.concatenate(([0], np.cumsum(length + space)))[first]
+    return pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out.tobytes())).cast(pa.string())
+
+
+def characters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many characters normalised() gives each segment."""
+    count = np.concatenate(([0], np.cumsum(_WORD[data] & ((data & 0xC0) != 0x80))))
+    n = np.diff(_words(data, offsets)[2])
+    return np.diff(count[offsets]) + np.maximum(n - 1, 0)
+
+
+def sequence_hash(h: np.ndarray, first: np.ndarray, seed: int = 7) -> np.ndarray:
+    """A 64-bit hash of the words of each segment in order: the sum of the words' hashes, each finalised with its place."""
+    count = np.diff(first)
+    place = (np.arange(len(h)) - np.repeat(first[:-1], count)).astype(np.uint64)
     c = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=c[1:])
-    return mix((c[first[1:]] - c[first[:-1]]) * down[first[:-1]], 7) + mix(np.diff(first).astype(np.uint64), 9)
+    np.cumsum(mix(h ^ (place * _P), seed), out=c[1:])
+    return mix(c[first[1:]] - c[first[:-1]] + count.astype(np.uint64), seed + 1)
 
 
 def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -127,17 +165,15 @@ def survives(depth: int, reach: int, bits: int = BITS) -> float:
     return math.prod((bits - reach - i) / (bits - i) for i in range(depth)) if depth <= bits - reach else 0.0
 
 
-def tries(nodes: int, reach: int, target: float, occupancy: float = 4.0) -> tuple[int, int]:
-    """(depth, how many): the depth follows the density (about occupancy nodes share a prefix), the number of tries makes up the recall."""
-    depth = max(8, math.ceil(math.log2(max(2, nodes) / occupancy)))
-    return depth, max(1, math.ceil(math.log(1 - target) / math.log(1 - survives(depth, reach))))
+def tries(depth: int, reach: int, target: float, bits: int = BITS) -> int:
+    """How many prefixes of depth bits it takes so that a pair that differs in reach of the bits shares one with chance target."""
+    chance = survives(depth, reach, bits)
+    return 1 if chance >= 1 else math.ceil(math.log(1 - target) / math.log(1 - chance))
 
 
-def prefixes(fp: np.ndarray, depth: int, how_many: int, seed: int = 5):
-    """For each trie the keys of its buckets: the number of the trie above depth permuted bits."""
-    rng = np.random.default_rng(seed)
-    for t in range(how_many):
-        out = np.full(len(fp), t, np.uint64)
-        for p in rng.permutation(BITS)[:depth]:
-            out = (out << np.uint64(1)) | ((fp[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1))
-        yield out
+def bits_of(fp: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The bits of each fingerprint at the given places, as one number."""
+    out = np.zeros(len(fp), np.uint64)
+    for p in places:
+        out = (out << np.uint64(1)) | ((fp[:, p >> 6] >> np.uint64(p & 63)) & np.uint64(1))
+    return out
