@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import edits, simhash
 from .common import components, cut, nodes_of, other_columns, prefix_for
 from .forest import Forest
 
@@ -72,11 +73,17 @@ def line_groups(docs: DataFrame, similarity: float = 0.9, limit: int = 19, targe
     close = cut(forest.edges(), "close")
     texts = cut(texts_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct()).dropDuplicates(["node"]), "close-lines")
 
+    def alike(batches):
+        for batch in batches:
+            for part in simhash.chunks(batch, "x", 1 << 20):
+                x, y = part.column(2), part.column(3)
+                longer = np.maximum(*(pc.utf8_length(t).to_numpy(zero_copy_only=False) for t in (x, y)))
+                keep = edits.within(x, y, np.floor((1 - similarity) * longer + 1e-9))
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
     def verified(pairs: DataFrame) -> DataFrame:
-        most = F.floor((1 - similarity) * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
-        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").withColumn("most", most)
-        # With a limit the distance is found in a band of the table; beyond the limit it is -1.
-        return both.where(F.expr("abs(length(x) - length(y)) <= most")).where(F.expr("levenshtein(x, y, most) >= 0")).select("a", "b")
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b")
+        return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
     first = cut(verified(close), "verified")
     group = components(close).withColumnRenamed("label", "whole")
