@@ -5,27 +5,6 @@ import pytest
 from winnow.plans import reports
 
 
-def test_reported_count():
-    good = {"schema_version": 4, "statistics": {"lines_output": 3}}
-    assert reports.reported_count(good) == (3, None)
-    assert reports.reported_count({"schema_version": 3}) == (None, None)
-    assert reports.reported_count({"schema_version": 4, "statistics": []})[1] == "pipeline_statistics_invalid"
-    assert reports.reported_count({"schema_version": 4, "statistics": {}})[1] == "pipeline_output_count_missing"
-    assert reports.reported_count({"schema_version": 4, "statistics": {"lines_output": True}})[1] == "pipeline_output_count_invalid"
-    assert reports.version_errors({"schema_version": 4}, {"schema_version": 2}) == ["source_health_schema_version"]
-
-
-def test_objects(tmp_path):
-    (tmp_path / "a.json").write_text("[1]")
-    assert reports.read_object(str(tmp_path / "a.json")) == ({}, ["pipeline_stats_invalid"])
-    assert reports.read_object(str(tmp_path / "none.json"))[1] == ["pipeline_stats_invalid"]
-
-
-def test_markdown():
-    text = reports.markdown([{"severity": "warning", "code": "c", "message": "m", "details": {"a": "1"}}], {"rules": 2}, {"added": 1})
-    assert "passed" in text and "`c` m" in text and "### Errors\n- none" in text and "- added: 1" in text
-
-
 @pytest.mark.parametrize("name", ["../a.txt", "/a.txt", "a.lst", ".."])
 def test_unsafe_names(name):
     with pytest.raises(ValueError):
@@ -44,7 +23,16 @@ def test_frozen_runs(spark, tmp_path):
     path = reports.freeze_dataset(str(raw), state, str(tmp_path), "d")
     assert json.loads(open(path).read())["sources"][0]["byte_size"] == 20
     run = reports.timed_runs(spark, path, 2)
-    assert run["deterministic"] and run["rules"] == 1 and run["seconds"]["min"] <= run["seconds"]["p95"]
+    assert run["deterministic"] and run["rules"] == 1 and run["summary"]["min_seconds"] <= run["summary"]["p95_seconds"] and len(run["observed"]) == 2
+    made = reports.synthetic_runs(spark, str(tmp_path), "syn-1", 2, 5, 1)
+    assert made["rules"] == 10 and made["dataset_id"] == "syn-1"
+    (tmp_path / "h.json").write_text(json.dumps({"sources": [{"filename": "a.txt", "url": "u", "status": "failed"}]}))
+    assert json.loads(open(reports.freeze_from_report(str(raw), str(tmp_path / "h.json"), str(tmp_path), "e")).read())["sources"][0]["source_health_status"] == "failed"
+    (tmp_path / "h.json").write_text(json.dumps({"sources": [{"filename": "a.txt"}, {"filename": "a.txt"}]}))
+    with pytest.raises(ValueError):
+        reports.freeze_from_report(str(raw), str(tmp_path / "h.json"), str(tmp_path), "f")
+    seen = reports.profile_run(spark, str(raw), str(tmp_path / "profiles"), "one", 5)
+    assert seen["statistics"]["lines_output"] == 1 and all((tmp_path / "profiles" / "one" / name).exists() for name in seen["artifacts"].values())
     (tmp_path / "d" / "raw" / "a.txt").write_text("x")
     with pytest.raises(ValueError):
         reports.timed_runs(spark, path)

@@ -88,6 +88,16 @@ def signature(mods: Column) -> Column:
     )
 
 
+def signature_parts(mods: Column) -> Column:
+    """The signature as sorted structs (name, negated, given, values, uncertain, raw if uncertain), for reports."""
+
+    def one(m: Column) -> Column:
+        values = F.transform(m["values"], lambda v: F.struct(v["value"].alias("value"), v["negated"].alias("negated")))
+        return F.struct(m["name"].alias("name"), m["negated"].alias("negated"), m["raw_value"].isNotNull().alias("given"), values.alias("values"), m["uncertain"].alias("uncertain"), F.when(m["uncertain"], m["raw"]).otherwise("").alias("raw"))
+
+    return F.array_sort(F.transform(mods, one))
+
+
 def _no_cover(mods: Column) -> Column:
     names = F.filter(F.transform(mods, lambda m: m["name"]), lambda n: n != "")
     return F.exists(mods, lambda m: m["uncertain"]) | (F.size(names) != F.size(F.array_distinct(names))) | F.exists(names, lambda n: ~n.isin(*KNOWN) | n.isin(*SPECIAL))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import glob
+import hashlib
 import os
 import zipfile
 
@@ -17,21 +18,42 @@ from pyspark.sql import functions as F
 FALLBACKS = ("/usr/share/publicsuffix/public_suffix_list.dat",)
 
 
-@functools.lru_cache(maxsize=1)
-def rules() -> tuple[tuple[str, bool, bool, bool], ...]:
-    """(labels, is a suffix, has a wildcard below, is an exception) of the ICANN section of the public suffix list that Spark's jars hold."""
+#: Setting of the session that names a list of one's own; results depend on the list, so it can be fixed.
+SETTING = "spark.winnow.publicSuffixList"
+
+
+@functools.lru_cache(maxsize=4)
+def list_text(path: str | None = None) -> str:
+    """The public suffix list at path, or, without one, that of Spark's jars."""
     import pyspark
 
-    text = None
+    if path:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
     for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "hadoop-client-runtime*.jar")):
         with zipfile.ZipFile(jar) as z:
             if "mozilla/public-suffix-list.txt" in z.namelist():
-                text = z.read("mozilla/public-suffix-list.txt").decode("utf-8")
+                return z.read("mozilla/public-suffix-list.txt").decode("utf-8")
     for path in FALLBACKS:
-        if text is None and os.path.exists(path):
-            text = open(path, encoding="utf-8").read()
-    if text is None:
-        raise FileNotFoundError("no public suffix list")
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                return f.read()
+    raise FileNotFoundError("no public suffix list")
+
+
+def _path(spark: SparkSession) -> str | None:
+    return spark.conf.get(SETTING, None)
+
+
+def list_digest(spark: SparkSession) -> str:
+    """SHA-256 of the list in use, which statistics carry."""
+    return hashlib.sha256(list_text(_path(spark)).encode("utf-8")).hexdigest()
+
+
+@functools.lru_cache(maxsize=4)
+def rules(path: str | None = None) -> tuple[tuple[str, bool, bool, bool], ...]:
+    """(labels, is a suffix, has a wildcard below, is an exception) of the ICANN section of the list."""
+    text = list_text(path)
     found: dict[str, list[bool]] = {}
     inside = False
     for line in text.splitlines():
@@ -52,7 +74,7 @@ def rules() -> tuple[tuple[str, bool, bool, bool], ...]:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(rules()), "x string, exact boolean, wild boolean, negated boolean")
+    return spark.createDataFrame(list(rules(_path(spark))), "x string, exact boolean, wild boolean, negated boolean")
 
 
 def last_labels(labels: Column, n: Column) -> Column:
@@ -61,7 +83,7 @@ def last_labels(labels: Column, n: Column) -> Column:
 
 def with_suffix(df: DataFrame, domain: str = "domain") -> DataFrame:
     """df with tld, registered (null where there is none) and parents (nearest first, ending at the registered domain) of a normalised domain."""
-    depth = max(r[0].count(".") + 1 for r in rules())
+    depth = max(r[0].count(".") + 1 for r in rules(_path(df.sparkSession)))
     known = F.broadcast(table(df.sparkSession))
     out = df.withColumn("_labels", F.split(domain, "[.]")).withColumn("_n", F.size("_labels"))
     best = []

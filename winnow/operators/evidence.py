@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.effects import LOCAL_NAMES
-from ..functions.modifiers import scope_columns
+from ..functions.modifiers import scope_columns, signature_parts
 from ..functions.syntax import PLAIN_DOMAIN
 from ..functions.text import normalize_domain, strip
 from .route import classify, route
 
+SAMPLE_CAP = 25
 SCOPES = ("unscoped_global", "apex", "subdomain", "apex_and_subdomains", "exact_host", "wildcard_child", "wildcard_apex_allowed")
 
 
 def coverage(rules: DataFrame) -> DataFrame:
-    """(ord, raw_rule, domain, syntax_kind, effect, scope, is_global, is_exception, is_wildcard, modifier_names, sig, notes) of rules (ord, line); a hosts line gives one row for each name.
+    """(ord, raw_rule, domain, syntax_kind, effect, scope, is_global, is_exception, is_wildcard, modifier_names, modifier_signature, notes) of rules (ord, line); a hosts line gives one row for each name.
 
     Stage the rules first: the result is a chain of expressions over the line.
     """
@@ -28,15 +29,29 @@ def coverage(rules: DataFrame) -> DataFrame:
     direct = r.where("kind = 'abp' and abp_domain <> ''").withColumn("e", effect)
     scope = F.when(c("abp_wildcard"), "wildcard_child").when((c("e") == "diagnostic") & (c("scope") != ""), c("scope")).otherwise("apex_and_subdomains")
     common = ("ord", c("line").alias("raw_rule"))
-    tail = (F.array_sort("mod_names").alias("modifier_names"), "sig", F.filter(F.split("reason", ";"), lambda x: x != "").alias("notes"))
+    tail = (F.array_sort("mod_names").alias("modifier_names"), signature_parts(c("mods")).alias("modifier_signature"), F.filter(F.split("reason", ";"), lambda x: x != "").alias("notes"))
     is_global = (c("e") == "block") & ~c("abp_wildcard") & ~c("is_exception") & (F.size("mod_names") == 0) & ~c("uncertain") & c("m_none")
     one = direct.select(*common, c("abp_domain").alias("domain"), c("kind").alias("syntax_kind"), c("e").alias("effect"), scope.alias("scope"), is_global.alias("is_global"), "is_exception", c("abp_wildcard").alias("is_wildcard"), *tail)
     plain = (c("kind") == "plain_domain") & c("line").rlike(PLAIN_DOMAIN) & ~normalize_domain("line").isin(*LOCAL_NAMES)
     named = r.withColumn("ds", F.when(c("kind") == "hosts", c("domains")).when(plain, F.array(normalize_domain("line")))).select("*", F.explode("ds").alias("d"))
-    two = named.select(*common, c("d").alias("domain"), c("kind").alias("syntax_kind"), F.lit("block").alias("effect"), F.lit("exact_host").alias("scope"), F.lit(False).alias("is_global"), F.lit(False).alias("is_exception"), F.lit(False).alias("is_wildcard"), F.array().cast("array<string>").alias("modifier_names"), F.lit("").alias("sig"), tail[2])
+    two = named.select(*common, c("d").alias("domain"), c("kind").alias("syntax_kind"), F.lit("block").alias("effect"), F.lit("exact_host").alias("scope"), F.lit(False).alias("is_global"), F.lit(False).alias("is_exception"), F.lit(False).alias("is_wildcard"), F.array().cast("array<string>").alias("modifier_names"), F.array().cast(r.select(tail[1]).schema["modifier_signature"].dataType).alias("modifier_signature"), tail[2])
     return one.unionByName(two)
 
 
+def in_report_order(covered: DataFrame) -> DataFrame:
+    """coverage() rows by domain, rule and scope."""
+    return covered.orderBy("domain", "raw_rule", "scope")
+
+
+def coverage_sample(covered: DataFrame, cap: int = SAMPLE_CAP, whole: bool = False) -> list[dict]:
+    """cap records for a report, in report order: the first of the artifact, or, with whole, the first of that order."""
+    if cap < 1:
+        raise ValueError("the cap must be at least 1")
+    first = in_report_order(covered).limit(cap) if whole else in_report_order(covered.orderBy("ord").limit(cap))
+    names = [c for c in covered.columns if c != "ord"]
+    return [{c: [[m["name"], m["negated"], m["given"], [[v["value"], v["negated"]] for v in m["values"]], m["uncertain"], m["raw"]] for m in r[c]] if c == "modifier_signature" else r[c] for c in names} for r in first.select(*names).collect()]
+
+
 def coverage_summary(covered: DataFrame) -> DataFrame:
     return covered.groupBy("effect", "scope").agg(F.count("*").alias("n"))
 
@@ -68,13 +83,16 @@ def added(current: DataFrame, previous: DataFrame) -> DataFrame:
     return membership(current).join(membership(previous), "line", "left_anti")
 
 
-def churn(current: DataFrame, previous: DataFrame, cap: int = 25) -> dict:
-    """Counts and the first cap names, in order, of what was added and removed."""
+def churn(current: DataFrame, previous: DataFrame, cap: int = SAMPLE_CAP) -> dict:
+    """Counts, fingerprints and the first cap names, in order, of what was added and removed."""
     if cap < 1:
         raise ValueError("the cap must be at least 1")
-    plus, minus = added(current, previous), added(previous, current)
-    head = lambda df: [r.line for r in df.orderBy("line").limit(cap).collect()]
-    return {"added_count": plus.count(), "removed_count": minus.count(), "added_sample": head(plus), "removed_sample": head(minus), "sample_cap": cap}
+    sides = {"current": membership(current), "previous": membership(previous), "added": added(current, previous), "removed": added(previous, current)}
+    out: dict = {}
+    for name, lines in sides.items():
+        row = membership_fingerprint(lines).first()
+        out[f"{name}_count"], out[f"{name}_fingerprint"] = row.n, row.fingerprint
+    return out | {f"{name}_samples": [r.line for r in sides[name].orderBy("line").limit(cap).collect()] for name in ("added", "removed")}
 
 
 def membership_fingerprint(lines: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.suffix import with_suffix
@@ -13,12 +14,25 @@ from ..functions.text import normalize_domain, strip
 from ..sources.staging import staged
 from .evidence import coverage, meets_scope
 
-FINDING = "severity string, code string, message string, details map<string,string>"
-MINIMUM_RULES = 1_000_000
-FAILED_STALE = (0.10, 3)
-FALLBACK_STALE = (0.10, 8)
-EXTREME_DROP, EXTREME_INCREASE, EXTREME_DELTA, MODERATE = 25.0, 100.0, 1_000_000, 10.0
 STATUSES = ("failed", "fallback_cache", "fresh_fetch", "stale_cache", "validated_cache")
+DEGRADED = ("failed", "fallback_cache", "stale_cache")
+
+
+@dataclass(frozen=True)
+class Thresholds:
+    """The numbers that decide about a release."""
+
+    minimum_output_rules: int = 1_000_000
+    source_failed_stale_minimum: int = 3
+    source_fallback_stale_minimum: int = 8
+    source_hard_ratio: float = 0.10
+    previous_extreme_drop_ratio: float = 0.25
+    previous_extreme_increase_ratio: float = 1.00
+    previous_moderate_delta_ratio: float = 0.10
+    previous_extreme_absolute_delta: int = 1_000_000
+
+
+LIMITS = Thresholds()
 MESSAGES = {
     "output_exception_rule": "an exception rule in the release",
     "output_invalid_syntax": "a rule of invalid syntax in the release",
@@ -27,10 +41,6 @@ MESSAGES = {
 }
 
 
-def _finding(code, details, severity: str = "error", message=None):
-    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(message or MESSAGES.get(code, code)).alias("message"), details.alias("details"))
-
-
 def scanned(lines: DataFrame) -> DataFrame:
     """The lines (line_no, line) of an artifact with their syntax; blank ones dropped, numbers kept."""
     return staged(with_syntax(lines.select("line_no", strip("line").alias("line"))), "scanned").where("line <> ''")
@@ -98,91 +108,54 @@ def scoped_canaries(canaries: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select(*canaries.columns, "matched", "blocked", F.when(passed, "passed").otherwise("failed").alias("status"))
 
 
-def source_limits(health: DataFrame) -> DataFrame:
-    """One row over sources (status): counts, hard limits and which gates they break."""
-    n, of = F.count("*"), lambda *s: F.count_if(F.col("status").isin(*s))
-    limit = lambda rule: F.greatest(F.lit(rule[1]), F.ceil(F.col("source_count") * rule[0]).cast("int")).cast("long")
-    out = health.agg(n.alias("source_count"), of("failed", "stale_cache").alias("failed_stale"), of("fallback_cache", "stale_cache").alias("fallback_stale"), of("failed", "stale_cache", "fallback_cache").alias("degraded"))
-    out = out.withColumn("failed_stale_limit", limit(FAILED_STALE)).withColumn("fallback_stale_limit", limit(FALLBACK_STALE))
+def _coded(df: DataFrame, *rules: tuple, more: tuple = ()) -> DataFrame:
+    """(severity, code, position), and more columns of df, for each of the rules (severity, code, condition) that holds for a row of df."""
+    found = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(sev).alias("severity"), F.lit(code).alias("code"), F.lit(k).alias("position"))) for k, (sev, code, cond) in enumerate(rules)]))
+    return df.select(*more, F.explode(found).alias("f")).select(*more, "f.*")
+
+
+def source_limits(health: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
+    """One row over sources (status): counts and the hard limits that they are held against."""
+    of = lambda *s: F.count_if(F.col("status").isin(*s))
+    limit = lambda least: F.greatest(F.lit(least), F.ceil(F.col("source_count") * limits.source_hard_ratio).cast("int")).cast("long")
+    out = health.agg(F.count("*").alias("source_count"), of("failed", "stale_cache").alias("failed_stale"), of("fallback_cache", "stale_cache").alias("fallback_stale"), of(*DEGRADED).alias("degraded"))
+    return out.withColumn("failed_stale_limit", limit(limits.source_failed_stale_minimum)).withColumn("fallback_stale_limit", limit(limits.source_fallback_stale_minimum))
+
+
+def source_findings(limited: DataFrame) -> DataFrame:
+    """(severity, code, position) about source_limits(): both hard limits are looked at, and only if neither is broken does a warning count."""
     a, b = F.col("failed_stale") > F.col("failed_stale_limit"), F.col("fallback_stale") > F.col("fallback_stale_limit")
-    return out.withColumn("verdict", F.when(a, "source_health_catastrophic_failed_stale").when(b, "source_health_catastrophic_fallback_stale").when(F.col("degraded") > 0, "source_health_degraded").otherwise("ok"))
-
-
-def previous_delta(current: int, previous: int | None) -> list[dict]:
-    """Findings about the change in the number of rules."""
-    row = lambda sev, code, **d: {"severity": sev, "code": code, "message": code, "details": {k: str(v) for k, v in d.items()}}
-    if previous is None:
-        return [row("warning", "previous_output_unavailable")]
-    if previous == 0:
-        return [row("warning", "previous_output_empty", current=current)]
-    delta = current - previous
-    percent = 100.0 * abs(delta) / previous
-    out = []
-    if delta < 0 and percent > EXTREME_DROP:
-        out.append(row("error", "previous_output_extreme_drop", percent=round(percent, 3)))
-    if delta > 0 and percent > EXTREME_INCREASE:
-        out.append(row("error", "previous_output_extreme_increase", percent=round(percent, 3)))
-    if abs(delta) > EXTREME_DELTA:
-        out.append(row("error", "previous_output_extreme_absolute_delta", delta=delta))
-    if not out and percent > MODERATE:
-        out.append(row("warning", "previous_output_moderate_delta", percent=round(percent, 3)))
-    return out
-
-
-def canary_errors(config: dict) -> list[str]:
-    """Codes of what is wrong with a canary configuration; a malformed one fails closed."""
-    version = config.get("schema_version") if isinstance(config, dict) else None
-    if isinstance(version, bool) or version not in (1, 2):
-        return ["canary_schema_version"]
-    bad = []
-    for key in ("must_block", "must_allow"):
-        value = config.get(key, [] if version == 2 else None)
-        if not isinstance(value, list) or not all(isinstance(x, str) and x.strip() for x in value):
-            bad.append("canary_config_invalid")
-    scoped = config.get("scoped_canaries", [])
-    if version == 2 and (not isinstance(scoped, list) or any(not isinstance(x, dict) or not x.get("domain") or x.get("expect") not in ("blocked", "not_blocked") or x.get("gate", "hard") not in ("hard", "informational") for x in scoped)):
-        bad.append("canary_scoped_config_invalid")
-    return bad
-
-
-def validate_release(spark: SparkSession, lines: DataFrame, canaries: dict, health: DataFrame | None = None, reported: int | None = None, previous: DataFrame | None = None, minimum: int = MINIMUM_RULES) -> DataFrame:
-    """All findings on an artifact (line_no, line)."""
-    scan = scanned(lines)
-    n = scan.count()
-    rows: list[tuple] = []
-    add = lambda sev, code, **d: rows.append((sev, code, MESSAGES.get(code, code), {k: str(v) for k, v in d.items()}))
-    if reported is not None and reported != n:
-        add("error", "pipeline_output_count_mismatch", reported=reported, scanned=n)
-    if n < minimum:
-        add("error", "output_below_minimum_count", count=n, minimum=minimum)
-    for code in canary_errors(canaries):
-        add("error", code)
-    rules = scan.select(F.col("line_no").alias("ord"), "line")
-    if not canary_errors(canaries):
-        pairs = [(d, e) for key, e in (("must_block", True), ("must_allow", False)) for d in canaries.get(key, [])]
-        if pairs:
-            for r in simple_canaries(spark.createDataFrame(pairs, "domain string, expected boolean"), blocked_domains(rules)).collect():
-                if r.blocked != r.expected:
-                    add("error", "canary_must_block_missing" if r.expected else "canary_must_allow_blocked", domain=r.domain)
-        scoped = [(x.get("name"), x["domain"], x["expect"], x["scope"], x.get("gate", "hard")) for x in canaries.get("scoped_canaries", [])]
-        if scoped:
-            for r in scoped_canaries(spark.createDataFrame(scoped, "name string, domain string, expect string, scope string, gate string"), rules).collect():
-                if r.status == "failed" and r.gate == "hard":
-                    add("error", "canary_scoped_block_missing" if r.expect == "blocked" else "canary_scoped_allow_blocked", domain=r.domain, scope=r.scope)
-    if health is not None:
-        r = source_limits(health).first()
-        if r.verdict != "ok":
-            add("warning" if r.verdict == "source_health_degraded" else "error", r.verdict, degraded=r.degraded)
-    for f in previous_delta(n, previous.select(strip("line").alias("line")).where("line <> ''").count() if previous is not None else None):
-        rows.append((f["severity"], f["code"], f["message"], f["details"]))
-    fixed = spark.createDataFrame(rows, FINDING)
-    found = output_findings(scan).select(F.lit("error").alias("severity"), "code", F.element_at(F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv]), F.col("code")).alias("message"), F.create_map(F.lit("line_number"), F.col("line_no").cast("string"), F.lit("rule"), F.col("line")).alias("details"))
-    return fixed.unionByName(found)
+    return _coded(limited, ("error", "source_health_catastrophic_failed_stale", a), ("error", "source_health_catastrophic_fallback_stale", b), ("warning", "source_health_degraded", ~a & ~b & (F.col("degraded") > 0)))
+
+
+def previous_findings(counts: DataFrame, limits: Thresholds = LIMITS, more: tuple = ()) -> DataFrame:
+    """(severity, code, position), and more columns of counts, about the change in the number of rules; counts has current_count and previous_count (null: there is no previous release)."""
+    now, before = F.col("current_count"), F.col("previous_count")
+    some, delta = before > 0, F.abs(now - before)
+    drop = some & (now < before) & (delta / before > limits.previous_extreme_drop_ratio)
+    rise = some & (now >= before) & (delta / before > limits.previous_extreme_increase_ratio)
+    far = some & (delta > limits.previous_extreme_absolute_delta)
+    moderate = some & ~drop & ~rise & ~far & (delta / before > limits.previous_moderate_delta_ratio)
+    return _coded(
+        counts,
+        ("warning", "previous_output_unavailable", before.isNull()),
+        ("warning", "previous_output_empty", before <= 0),
+        ("error", "previous_output_extreme_drop", drop),
+        ("error", "previous_output_extreme_increase", rise),
+        ("error", "previous_output_extreme_absolute_delta", far),
+        ("warning", "previous_output_moderate_delta", moderate),
+        more=more,
+    )
+
+
+def count_findings(counts: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
+    """(severity, code, position) about the number of rules; counts has scanned and reported (null: no report names one)."""
+    return _coded(counts, ("error", "pipeline_output_count_mismatch", F.col("reported") != F.col("scanned")), ("error", "output_below_minimum_count", F.col("scanned") < limits.minimum_output_rules))
 
 
 def percentile_row(values: list[float]) -> dict:
-    """min, max, median (interpolated) and p95 (nearest rank), six digits."""
-    v = sorted(values)
+    """min, max, median (interpolated) and p95 (nearest rank), six digits; no values give zeros."""
+    v = sorted(values) or [0.0]
     n = len(v)
     mid = v[n // 2] if n % 2 else (v[n // 2 - 1] + v[n // 2]) / 2
-    return {"min": round(v[0], 6), "max": round(v[-1], 6), "p50": round(mid, 6), "p95": round(v[max(0, math.ceil(0.95 * n) - 1)], 6)}
+    return {"min_seconds": round(v[0], 6), "max_seconds": round(v[-1], 6), "p50_seconds": round(mid, 6), "p95_seconds": round(v[max(0, math.ceil(0.95 * n) - 1)], 6)}

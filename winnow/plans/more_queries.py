@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.suffix import domain_shape, with_suffix
 from ..operators import evidence, validate
-from ..operators.proof import capped_samples, decisions, summary
-from ..sources.health import STATUSES, totals, with_status
+from ..operators.proof import capped_samples, decisions, numbered, summary
+from ..sources.health import STATUSES, cache_age, totals, with_status
 from ..sources.lists import url_filename
-from .oracle import CLEANED, JUDGED, ROUTED, _norm, _syntax, listed, using
-from .registry import UNSUPPORTED_SQL, _compiled, _lines, query
+from .oracle import CLEANED, JUDGED, RECORDS, ROUTED, _norm, _syntax, listed, using
+from .compile import EFFECTS
+from .registry import UNSUPPORTED_SQL, _compiled, _lines, _records, query
 
 _HALVES = f"{CLEANED}, cur AS (SELECT DISTINCT trim(t) AS line FROM cleaned WHERE discard_reason IS NULL AND ord % 2 = 0), prev AS (SELECT DISTINCT trim(t) AS line FROM cleaned WHERE discard_reason IS NULL AND ord % 2 = 1)"
 
@@ -107,11 +109,13 @@ _BARE, _WIDE = "v.e = 'block' AND v.modifier_names = ''", "v.e = 'block' AND v.m
 @query(
     using(
         f"""{_COVER}, {_CANARIES}, scoped_canary AS (SELECT domain, scope FROM canary, (SELECT unnest({listed(evidence.SCOPES)}) AS scope)),
+split AS (SELECT domain, scope, string_split(domain, '.') AS l FROM scoped_canary),
+suffixed AS (SELECT domain, scope, array_to_string(l[i:], '.') AS a FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM split)),
 seen AS (SELECT c.domain, c.scope, bool_or(CASE c.scope WHEN 'wildcard_apex_allowed' THEN ({_BARE} AND v.cscope = 'wildcard_child' AND {_SAME}) OR ({_WIDE} AND {_SAME}) WHEN 'exact_host' THEN {_BARE} AND v.cscope = 'exact_host' AND {_SAME}
     WHEN 'wildcard_child' THEN {_BARE} AND v.cscope = 'wildcard_child' AND {_BELOW} WHEN 'unscoped_global' THEN {_WIDE} AND ({_SAME} OR {_BELOW}) WHEN 'subdomain' THEN {_WIDE} AND {_BELOW} ELSE {_WIDE} AND {_SAME} END) AS matched,
   bool_or(CASE c.scope WHEN 'wildcard_apex_allowed' THEN {_WIDE} AND {_SAME} WHEN 'exact_host' THEN {_BARE} AND v.cscope = 'exact_host' AND {_SAME}
     WHEN 'wildcard_child' THEN {_BARE} AND v.cscope = 'wildcard_child' AND {_BELOW} WHEN 'unscoped_global' THEN {_WIDE} AND ({_SAME} OR {_BELOW}) WHEN 'subdomain' THEN {_WIDE} AND {_BELOW} ELSE {_WIDE} AND {_SAME} END) AS blocked
-  FROM scoped_canary c JOIN cov v ON {_SAME} OR ends_with(c.domain, '.' || v.domain) GROUP BY 1, 2)""",
+  FROM suffixed c JOIN cov v ON v.domain = c.a GROUP BY 1, 2)""",
         "SELECT c.domain, c.scope, coalesce(matched, false) AS matched, coalesce(blocked, false) AS blocked, CASE WHEN coalesce(blocked, false) THEN 'passed' ELSE 'failed' END AS status FROM scoped_canary c LEFT JOIN seen s USING (domain, scope)",
     )
 )
@@ -139,15 +143,31 @@ def source_totals(spark, sf_dir):
     return totals(_health(spark, sf_dir))
 
 
+_GATE = f"""{_HEALTH}, agg AS (SELECT count(*) AS n, count(*) FILTER (status IN ('failed', 'stale_cache')) AS a, count(*) FILTER (status IN ('fallback_cache', 'stale_cache')) AS b, count(*) FILTER (status IN ('failed', 'stale_cache', 'fallback_cache')) AS d FROM health),
+lim AS (SELECT *, greatest(3, ceil(n * 0.10)) AS la, greatest(8, ceil(n * 0.10)) AS lb FROM agg)"""
+
+
+@query(using(_GATE, "SELECT n::BIGINT AS source_count, a::BIGINT AS failed_stale, b::BIGINT AS fallback_stale, d::BIGINT AS degraded, la::BIGINT AS failed_stale_limit, lb::BIGINT AS fallback_stale_limit FROM lim"))
+def source_gate(spark, sf_dir):
+    return validate.source_limits(_health(spark, sf_dir))
+
+
 @query(
     using(
-        f"""{_HEALTH}, agg AS (SELECT count(*) AS n, count(*) FILTER (status IN ('failed', 'stale_cache')) AS a, count(*) FILTER (status IN ('fallback_cache', 'stale_cache')) AS b, count(*) FILTER (status IN ('failed', 'stale_cache', 'fallback_cache')) AS d FROM health)""",
-        """SELECT n::BIGINT AS source_count, a::BIGINT AS failed_stale, b::BIGINT AS fallback_stale, d::BIGINT AS degraded, greatest(3, ceil(n * 0.10))::BIGINT AS failed_stale_limit, greatest(8, ceil(n * 0.10))::BIGINT AS fallback_stale_limit,
-  CASE WHEN a > greatest(3, ceil(n * 0.10)) THEN 'source_health_catastrophic_failed_stale' WHEN b > greatest(8, ceil(n * 0.10)) THEN 'source_health_catastrophic_fallback_stale' WHEN d > 0 THEN 'source_health_degraded' ELSE 'ok' END AS verdict FROM agg""",
+        _GATE,
+        """SELECT 'error' AS severity, 'source_health_catastrophic_failed_stale' AS code FROM lim WHERE a > la UNION ALL SELECT 'error', 'source_health_catastrophic_fallback_stale' FROM lim WHERE b > lb
+UNION ALL SELECT 'warning', 'source_health_degraded' FROM lim WHERE a <= la AND b <= lb AND d > 0""",
     )
 )
-def source_gate(spark, sf_dir):
-    return validate.source_limits(_health(spark, sf_dir))
+def source_findings(spark, sf_dir):
+    return validate.source_findings(validate.source_limits(_health(spark, sf_dir))).select("severity", "code")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE greatest(0, 1700100000 - (1700000000 + event_id * 61)) END::BIGINT AS age FROM events")
+def cache_ages(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    fetched = F.when(F.col("event_id") % 13 == 0, "yesterday").otherwise(F.date_format(F.timestamp_seconds(1_700_000_000 + F.col("event_id") * 61), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return e.select("event_id", cache_age(fetched, F.lit(1_700_100_000)).alias("age"))
 
 
 @query("SELECT page_id, left(replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '.', '_'), 30) || '_' || left(sha256(url), 16) || '.txt' AS filename FROM pages")
@@ -155,11 +175,50 @@ def url_filenames(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", url_filename("url").alias("filename"))
 
 
-@query(using(f"{_HALVES}, n AS (SELECT (SELECT count(*) FROM cur) AS c, (SELECT count(*) FROM prev) AS p)", "SELECT c::BIGINT AS current_count, p::BIGINT AS previous_count, c - p AS delta, abs(c - p) * 10 > p AS moderate FROM n"))
-def previous_delta(spark, sf_dir):
-    now, before = (evidence.membership(x).agg(F.count("*").alias(n)) for x, n in zip(_halves(spark, sf_dir), ("current_count", "previous_count")))
-    c, p = F.col("current_count"), F.col("previous_count")
-    return now.crossJoin(before).select(c, p, (c - p).alias("delta"), (F.abs(c - p) * 10 > p).alias("moderate"))
+_CHANGES = """change AS (SELECT event_id, 900 + (event_id * 7919) % 2500000 AS current_count, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN (event_id % 2) * 0 ELSE 800 + (event_id * 104729) % 1500000 END AS previous_count FROM events),
+moved AS (SELECT *, abs(current_count - previous_count) AS d, coalesce(previous_count > 0, false) AS some FROM change),
+judged_change AS (SELECT *, some AND current_count < previous_count AND d > 0.25 * previous_count AS fell, some AND current_count >= previous_count AND d > previous_count AS rose, some AND d > 1000000 AS far FROM moved)"""
+
+
+@query(
+    using(
+        _CHANGES,
+        """SELECT code, severity, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS ids FROM (
+  SELECT 'previous_output_unavailable' AS code, 'warning' AS severity, event_id FROM judged_change WHERE previous_count IS NULL UNION ALL SELECT 'previous_output_empty', 'warning', event_id FROM judged_change WHERE previous_count <= 0
+  UNION ALL SELECT 'previous_output_extreme_drop', 'error', event_id FROM judged_change WHERE fell UNION ALL SELECT 'previous_output_extreme_increase', 'error', event_id FROM judged_change WHERE rose
+  UNION ALL SELECT 'previous_output_extreme_absolute_delta', 'error', event_id FROM judged_change WHERE far
+  UNION ALL SELECT 'previous_output_moderate_delta', 'warning', event_id FROM judged_change WHERE some AND NOT fell AND NOT rose AND NOT far AND d > 0.1 * previous_count) GROUP BY ALL""",
+    )
+)
+def previous_findings(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    counts = e.selectExpr("event_id", "900 + (event_id * 7919) % 2500000 as current_count", "case event_id % 5 when 0 then null when 1 then (event_id % 2) * 0 else 800 + (event_id * 104729) % 1500000 end as previous_count")
+    return validate.previous_findings(counts, more=("event_id",)).groupBy("code", "severity").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query(
+    using(
+        _RAW,
+        """SELECT code, severity FROM (SELECT count(*) AS n FROM scan), (VALUES ('pipeline_output_count_mismatch', 'error', 1), ('output_below_minimum_count', 'error', 2)) v(code, severity, k) WHERE (k = 1 AND n <> 5) OR (k = 2 AND n < 1000000)""",
+    )
+)
+def count_findings(spark, sf_dir):
+    from .corpus import corpus
+
+    scan = validate.scanned(corpus(spark, sf_dir).select(F.col("ord").alias("line_no"), F.col("raw").alias("line")))
+    return validate.count_findings(scan.agg(F.count("*").alias("scanned")).withColumn("reported", F.lit(5))).select("code", "severity")
+
+
+@query(
+    using(
+        RECORDS,
+        """SELECT DISTINCT domain, is_wildcard, CASE WHEN domain = '' THEN 'none' WHEN is_wildcard AND tld = domain THEN 'tld_wildcard' WHEN is_wildcard THEN 'wildcard' WHEN len(parents) > 0 THEN 'subdomain' WHEN registered = domain THEN 'registered_domain' WHEN tld = domain THEN 'tld' ELSE 'apex' END AS shape
+FROM (SELECT DISTINCT domain, is_wildcard FROM records) JOIN suf3 USING (domain)""",
+    )
+)
+def domain_shapes(spark, sf_dir):
+    domains = with_suffix(_records(spark, sf_dir).where("not is_exception").select("domain", "is_wildcard").distinct())
+    return domains.select("domain", "is_wildcard", domain_shape(F.col("domain"), F.col("is_wildcard")).alias("shape"))
 
 
 @query("SELECT f AS file, r AS rule_no, printf('||synthetic-%03d-%05d-%03d-%03d.example^', f, r, (37 * f + 17 * r) % 997, (53 * f + 29 * r) % 991) AS rule FROM range(10) a(f), range(1000) b(r)")
@@ -190,7 +249,7 @@ dec AS (
   UNION ALL SELECT 'cross_format_broadened', 'changed', 'proven', 'cross_format_broadened', 'gained', 'preserved', 1, NULL, NULL, ord, tok, 1, rule FROM rules WHERE nth = 1 AND promoted
   UNION ALL SELECT verdict, CASE verdict WHEN 'exception_covered' THEN 'removed' WHEN 'kept_because_uncertain' THEN 'kept' ELSE 'pruned' END, CASE verdict WHEN 'kept_because_uncertain' THEN 'uncertain' ELSE 'proven' END, verdict,
     CASE verdict WHEN 'exception_covered' THEN 'changed' WHEN 'kept_because_uncertain' THEN 'uncertain' ELSE 'preserved' END, CASE verdict WHEN 'exception_covered' THEN 'changed' WHEN 'kept_because_uncertain' THEN 'uncertain' ELSE 'preserved' END,
-    3, min([ord, tok]) OVER (PARTITION BY storage_key)[1], min([ord, tok]) OVER (PARTITION BY storage_key)[2], ord, tok, 0, rule FROM (SELECT * FROM judged) WHERE verdict IS NOT NULL)"""
+    CASE section WHEN 'tld_wildcard' THEN 4 ELSE 3 END, min([ord, tok]) OVER (PARTITION BY storage_key)[1], min([ord, tok]) OVER (PARTITION BY storage_key)[2], ord, tok, 0, rule FROM (SELECT * FROM judged) WHERE verdict IS NOT NULL)"""
 _PROOF = _PROOF.replace("min([ord, tok]) OVER (PARTITION BY storage_key)[1]", "ko[1]").replace("min([ord, tok]) OVER (PARTITION BY storage_key)[2]", "ko[2]").replace("FROM (SELECT * FROM judged) WHERE verdict", "FROM (SELECT *, min([ord, tok]) OVER (PARTITION BY storage_key) AS ko FROM judged) WHERE verdict")
 
 
@@ -218,3 +277,22 @@ def proof_summary(spark, sf_dir):
 def proof_capped_samples(spark, sf_dir):
     return capped_samples(decisions(_compiled(spark, sf_dir))).select("reason", "outcome", "strict_agh_delta", "project_policy_delta", F.col("at").cast("long").alias("pos"), "bucket_total", F.col("candidate.normalized_rule").alias("rule"))
 
+
+
+@query(using(_PROOF, "SELECT decision_type || ':' || lpad(row_number() OVER (ORDER BY phase, k1 NULLS FIRST, k2 NULLS FIRST, ord, tok, sub)::VARCHAR, 6, '0') AS decision_id, reason, rule FROM dec"))
+def proof_numbered(spark, sf_dir):
+    return numbered(decisions(_compiled(spark, sf_dir))).select("decision_id", "reason", F.col("candidate.normalized_rule").alias("rule"))
+
+
+@query(
+    using(
+        JUDGED,
+        f"""SELECT 'rule_effect_counts' AS part, e AS name, n::BIGINT AS n FROM (SELECT e, (SELECT count(*) FROM classified c WHERE c.effect = v.e OR (v.e = 'uncertain' AND c.uncertain)) AS n FROM (SELECT unnest({listed(EFFECTS)}) AS e) v)
+UNION ALL SELECT 'compression_policy', 'hosts_plain_promoted_to_abp', (SELECT count(*) FROM rules WHERE nth = 1 AND promoted) UNION ALL SELECT 'compression_policy', 'regex_preserved_no_pruning', (SELECT count(*) FROM others WHERE kind = 'regex')""",
+    )
+)
+def semantic_view(spark, sf_dir):
+    from .pipeline import semantics
+
+    view = semantics(_compiled(spark, sf_dir).stats().first().asDict())
+    return spark.createDataFrame([(part, name, n) for part, found in view.items() for name, n in found.items()], "part string, name string, n long")

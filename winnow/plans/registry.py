@@ -124,13 +124,13 @@ def uncertain_kept(spark, sf_dir):
     return _compiled(spark, sf_dir).kept.where("verdict = 'kept_because_uncertain'").select("o.ord", F.col("o.tok").cast("long").alias("tok"), "rule", F.col("by_o.ord").alias("by_ord"), "detail")
 
 
-OUTPUT_SQL = """SELECT CASE WHEN section = 'tld_wildcard' THEN 0 ELSE 1 END AS section, rule AS line, ord FROM judged WHERE verdict IS NULL OR verdict = 'kept_because_uncertain'
-UNION ALL SELECT 2, line, NULL FROM others"""
+OUTPUT_SQL = """SELECT CASE WHEN section = 'tld_wildcard' THEN 0 ELSE 1 END AS section, rule AS line, ord, ko[1] AS key_ord FROM (SELECT *, min([ord, tok]) OVER (PARTITION BY storage_key) AS ko FROM judged) WHERE verdict IS NULL OR verdict = 'kept_because_uncertain'
+UNION ALL SELECT 2, line, NULL, NULL FROM others"""
 
 
-@query(using(JUDGED, f"SELECT section::BIGINT AS section, line, ord FROM ({OUTPUT_SQL})"))
+@query(using(JUDGED, f"SELECT section::BIGINT AS section, line, ord, key_ord FROM ({OUTPUT_SQL})"))
 def compile_output(spark, sf_dir):
-    return _compiled(spark, sf_dir).output().select(F.col("section").cast("long").alias("section"), "line", "o.ord")
+    return _compiled(spark, sf_dir).output().select(F.col("section").cast("long").alias("section"), "line", "o.ord", F.col("key_o.ord").alias("key_ord"))
 
 
 _n = lambda table, cond: f"(SELECT count(*) FROM {table} WHERE {cond})::BIGINT"

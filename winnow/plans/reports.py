@@ -1,4 +1,4 @@
-"""Reports that are read and written on the driver: statistics, validation summaries, frozen datasets and timed runs."""
+"""Frozen datasets and timed or profiled runs over them; their reports are read and written on the driver."""
 
 from __future__ import annotations
 
@@ -13,52 +13,11 @@ from datetime import datetime, timezone
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..operators.validate import percentile_row
-from ..sources.health import CHUNK, save_json
+from ..sources.health import CHUNK, by_filename, save_json, save_text
 from .bench import synthetic
 
-STATS_VERSION, HEALTH_VERSION = 4, 1
-
-
-def read_object(path: str) -> tuple[dict, list[str]]:
-    """A JSON object, or an empty one and the code of what is wrong with it."""
-    try:
-        with open(path, encoding="utf-8") as f:
-            value = json.load(f)
-    except (OSError, ValueError):
-        return {}, ["pipeline_stats_invalid"]
-    return (value, []) if isinstance(value, dict) else ({}, ["pipeline_stats_invalid"])
-
-
-def version_errors(stats: dict, health: dict | None) -> list[str]:
-    bad = ["pipeline_stats_schema_version"] if stats.get("schema_version") != STATS_VERSION else []
-    return bad + (["source_health_schema_version"] if health is not None and health.get("schema_version") != HEALTH_VERSION else [])
-
-
-def reported_count(stats: dict) -> tuple[int | None, str | None]:
-    """statistics.lines_output of a report, or the code of why there is none; a report of another version has neither."""
-    if stats.get("schema_version") != STATS_VERSION:
-        return None, None
-    inner = stats.get("statistics")
-    if not isinstance(inner, dict):
-        return None, "pipeline_statistics_invalid"
-    if "lines_output" not in inner:
-        return None, "pipeline_output_count_missing"
-    n = inner["lines_output"]
-    return (n, None) if isinstance(n, int) and not isinstance(n, bool) and n >= 0 else (None, "pipeline_output_count_invalid")
-
-
-def markdown(findings: list, counts: dict, evidence: dict | None = None) -> str:
-    """A summary for people of findings (severity, code, message, details)."""
-    out = [f"## Release validation: {'failed' if any(f['severity'] == 'error' for f in findings) else 'passed'}", "", *(f"- {k}: {v}" for k, v in sorted(counts.items()))]
-    for severity in ("error", "warning"):
-        mine = [f for f in findings if f["severity"] == severity]
-        out += ["", f"### {severity.capitalize()}s", *([f"- `{f['code']}` {f['message']}" + "".join(f"\n  - {k}: {v}" for k, v in sorted(dict(f["details"]).items())) for f in mine] or ["- none"])]
-    if evidence:
-        out += ["", "### Evidence", *(f"- {k}: {v}" for k, v in sorted(evidence.items()))]
-    return "\n".join(out) + "\n"
-
-
 def safe_name(name: str) -> str:
     """A *.txt file name without any path, or an error."""
     if os.path.basename(name) != name or name in ("", ".", "..") or not name.endswith(".txt"):
@@ -125,22 +84,87 @@ def checked_manifest(path: str) -> dict:
     return manifest
 
 
-def timed_runs(spark: SparkSession, manifest_path: str, iterations: int = 3) -> dict:
-    """Run the pipeline over a frozen dataset several times, checking it before each run."""
-    from .pipeline import process_files
+def freeze_from_report(folder: str, health_path: str, root: str, dataset_id: str) -> str:
+    """freeze_dataset() with the sources of a health report."""
+    with open(health_path, encoding="utf-8") as f:
+        report = json.load(f)
+    return freeze_dataset(folder, by_filename(report), root, dataset_id)
+
 
+def _observed(spark: SparkSession, raw: str, out: str) -> dict:
+    from .pipeline import process_files_with_profile
+
+    began = time.perf_counter()
+    run = process_files_with_profile(spark, raw, out)
+    size, digest = _identity(out)
+    return {"elapsed_seconds": round(time.perf_counter() - began, 6), "lines_output": run.statistics["lines_output"], "output_bytes": size, "output_sha256": digest, "runtime_profile": run.profile}
+
+
+def _runs(spark: SparkSession, dataset_id: str, iterations: int, raw, folder: str) -> dict:
     if iterations < 1:
         raise ValueError("at least one iteration")
-    took, digests = [], set()
+    seen = [{"iteration": k, **_observed(spark, raw(), os.path.join(folder, f"run-{k}.txt"))} for k in range(1, iterations + 1)]
+    return {
+        "schema_version": 1,
+        "version": __version__,
+        "dataset_id": dataset_id,
+        "iterations": iterations,
+        "observed": seen,
+        "summary": percentile_row([r["elapsed_seconds"] for r in seen]),
+        "rules": seen[-1]["lines_output"],
+        "deterministic": len({r["output_sha256"] for r in seen}) == 1,
+    }
+
+
+def timed_runs(spark: SparkSession, manifest_path: str, iterations: int = 3) -> dict:
+    """Run the pipeline over a frozen dataset several times, checking it before each run."""
     base = os.path.dirname(manifest_path)
-    for k in range(iterations):
-        manifest = checked_manifest(manifest_path)
-        began = time.time()
-        out = os.path.join(base, f"run-{k}.txt")
-        report = process_files(spark, os.path.join(base, manifest["raw_dir"]), out)
-        took.append(time.time() - began)
-        digests.add(_identity(out)[1])
-    return {"schema_version": 1, "iterations": iterations, "seconds": percentile_row(took), "rules": report["statistics"]["lines_output"], "deterministic": len(digests) == 1}
+    raw = lambda: os.path.join(base, checked_manifest(manifest_path)["raw_dir"])
+    return _runs(spark, checked_manifest(manifest_path)["dataset_id"], iterations, raw, base)
+
+
+def synthetic_runs(spark: SparkSession, root: str, dataset_id: str, files: int, rules_per_file: int, iterations: int) -> dict:
+    """The same over synthetic lists, which are written first, a file at a time."""
+    if files < 1 or rules_per_file < 1:
+        raise ValueError("at least one file and one rule")
+    target = safe_folder(root, dataset_id)
+    raw = os.path.join(target, "raw")
+    os.makedirs(raw, exist_ok=True)
+    rows = synthetic(spark, files, rules_per_file).orderBy("file", "rule_no").toLocalIterator()
+    for k in range(files):
+        save_text(os.path.join(raw, f"synthetic-{k:03d}.txt"), "".join(next(rows)["rule"] + "\n" for _ in range(rules_per_file)))
+    return _runs(spark, dataset_id, iterations, lambda: raw, target)
+
+
+def profile_run(spark: SparkSession, folder: str, root: str, run_id: str, limit: int = 40) -> dict:
+    """Run the pipeline with the driver's profiler; writes the statistics of its calls, two summaries of them, and a report. Returns the report.
+
+    Tasks run in executors; what they took is in Spark's event log, which spark.eventLog.dir names.
+    """
+    import cProfile
+    import io
+    import pstats
+
+    from .pipeline import process_files_with_profile
+
+    if limit < 1:
+        raise ValueError("at least one row")
+    target = safe_folder(root, run_id)
+    os.makedirs(target, exist_ok=True)
+    at = lambda name: os.path.join(target, name)
+    profiler = cProfile.Profile()
+    began = time.perf_counter()
+    run = profiler.runcall(process_files_with_profile, spark, folder, at("merged.txt"), at("coverage-proof.json"))
+    took = time.perf_counter() - began
+    profiler.dump_stats(at("driver.pstats"))
+    for order in ("cumulative", "tottime"):
+        text = io.StringIO()
+        pstats.Stats(profiler, stream=text).sort_stats(order).print_stats(limit)
+        save_text(at(f"pstats-{order}.txt"), text.getvalue())
+    made = {"pstats": "driver.pstats", "cumulative": "pstats-cumulative.txt", "tottime": "pstats-tottime.txt", "output": "merged.txt", "coverage_proof": "coverage-proof.json"}
+    out = {"schema_version": 1, "version": __version__, "run_id": run_id, "elapsed_seconds": round(took, 6), "statistics": run.statistics, "runtime_profile": run.profile, "artifacts": made, "event_log": spark.conf.get("spark.eventLog.dir", None)}
+    save_json(at("profile.json"), out)
+    return out
 
 
 def write_synthetic(spark: SparkSession, folder: str, files: int, rules_per_file: int) -> None:

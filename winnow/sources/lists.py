@@ -23,6 +23,22 @@ def read_lists(spark: SparkSession, folder: str) -> DataFrame:
     return lines.join(F.broadcast(names), "file_name").select("file_idx", "file_name", (F.col("at") + 1).cast("long").alias("line_no"), "raw", (F.col("at") < F.col("n") - 1).alias("had_newline"))
 
 
+def count_files(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """Number and bytes of the *.txt files of a folder, empty ones too; only their names and sizes are read. A folder that isn't there is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path) or not system.getFileStatus(path).isDirectory():
+        raise FileNotFoundError(f"no folder {folder}")
+    sizes = [f.getLen() for f in system.listStatus(path) if f.isFile() and f.getPath().getName().endswith(".txt")]
+    return len(sizes), sum(sizes)
+
+
+def read_artifact(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of one file, lines from 1."""
+    text = F.regexp_replace("value", "^﻿", "")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(text, "\r\n|\r|\n")).alias("at", "line")).select((F.col("at") + 1).cast("long").alias("line_no"), "line")
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, url) of a source catalog: text after # dropped, blanks skipped."""
     from ..functions.text import strip
