@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from winnow.llm import common, digest, forest, html_crf, langid, line_dedup, near_dedup, packing, pieces, sharding, simhash, vectors, warc
+from winnow.llm import common, digest, edits, forest, html_crf, langid, line_dedup, near_dedup, packing, pieces, sharding, simhash, vectors, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -302,6 +302,17 @@ def test_the_number_of_shuffled_keys_grows_slowly():
     assert counts[0][0] == counts[0][1] <= 14 and counts[0][2] <= 50 and counts[1][0] <= 10 and counts[1][2] <= 120
 
 
+def test_ranks_count_the_nearer_cells():
+    r = np.random.default_rng(6)
+    x = r.standard_normal((50, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = (r.random((9, 4)).astype(np.float32), r.random((7, 4)).astype(np.float32))
+    got = vectors.ranks(x, books, 0.9)
+    for k, order in enumerate(vectors.visited(x, books, 63)):
+        d = ((x[k, :4] - books[0]) ** 2).sum(1)[:, None] + ((x[k, 4:] - books[1]) ** 2).sum(1)[None]
+        assert np.isclose(d.reshape(-1)[order[got[k]]], np.sort(d.reshape(-1))[got[k]], atol=1e-5)
+
+
 def test_vectors_reach_the_recall(spark):
     r = np.random.default_rng(7)
     base = np.array([v[1] for v in read("embeddings")], np.float32)
@@ -420,3 +431,100 @@ def test_warc_against_sql(spark):
     got = warc.derive(warc.responses(spark.read.parquet(f"{SF}/pages.parquet")))
     assert sorted(map(repr, (tuple(r[c] for c in rel.columns) for r in got.collect()))) == sorted(map(repr, rel.fetchall()))
     assert warc.serialized(got).where("substring(record, 1, 8) = cast('WARC/1.1' as binary)").count() == 100
+
+
+def told(model, text, min_known):
+    """Language identification by its definition, one trigram after the other."""
+    data = (text or "").lower().encode()
+    letter = [97 <= b <= 122 or b >= 128 for b in data]
+    folded = [b if ok else 32 for b, ok in zip(data, letter)]
+    total = known = 0
+    score = [0.0] * len(model.weights)
+    for i in range(len(data) - 2):
+        if letter[i + 1]:
+            h = int(langid._T[0][folded[i]] ^ langid._T[1][folded[i + 1]] ^ langid._T[2][folded[i + 2]])
+            total += 1
+            known += bool(model.known[h])
+            for k, w in enumerate(model.weights):
+                score[k] += float(w[h % langid.SPACE])
+    if not total or known / total < min_known:
+        return None, None
+    score = [s / total for s in score]
+    f = max(range(len(model.families)), key=lambda k: (score[k], -k))
+    names = model.members[f]
+    votes, margin = [0] * len(names), [0.0] * len(names)
+    for (a, i, j), s in zip(model.pairs, score[len(model.families) :]):
+        if a == f:
+            votes[i if s >= 0 else j] += 1
+            margin[i] += s
+            margin[j] -= s
+    return names[max(range(len(names)), key=lambda k: (votes[k], margin[k], -k))], model.families[f]
+
+
+def test_languages_against_the_definition(spark):
+    docs = read("documents")
+    # A third language in one family, so that votes are counted among three machines.
+    pt = ["o menino não viu a água do mar e voltou para casa com o irmão", "os livros que ela lê são muito bons e não custam nada", "amanhã vamos à praia se não chover de manhã"] * 4
+    model = langid.fit([d[1] for d in docs[:80]] + pt, [d[2] for d in docs[:80]] + ["pt"] * len(pt))
+    assert model.members[model.families.index("romance")] == ["es", "fr", "pt"]
+    rows = [(d[0], d[1]) for d in docs] + [(1000 + k, t) for k, t in enumerate(pt[:3] + ["", "  ", "%%%", "ça va", "日本語", "the die la", None])]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    seen = set()
+    for i, t in rows:
+        lang, family = told(model, t, 0.5)
+        seen.add(lang)
+        assert (got[i].lang_id, got[i].family, got[i].accepted) == (lang, family, lang is not None)
+    assert seen >= {"es", "pt", "fr", "de", "en", None}
+
+
+def test_ties_of_languages_go_to_the_first_name():
+    n = langid.SPACE
+    model = langid.Model(["f", "g"], [["a", "b", "c"], ["x"]], [(0, 0, 1), (0, 0, 2), (0, 1, 2)], np.zeros((5, n), np.float32), np.ones(langid.KNOWN, bool))
+    assert model.predict(pa.array(["any text"]), 0.5)["lang_id"] == ["a"]
+    # A circle of votes with equal margins: everyone beats one other.
+    model.weights[2:] = np.array([1, -1, 1], np.float32)[:, None]
+    assert model.predict(pa.array(["any text"]), 0.5)["lang_id"] == ["a"]
+
+
+def test_digests_against_brute_force(spark):
+    texts = [d[1] for d in read("documents")][:90]
+    r = random.Random(8)
+    for t in texts[:30]:
+        w = t.split(" ")
+        for _ in range(1 + len(w) // 40):
+            w[r.randrange(len(w))] = r.choice(("zebra", "quartz", "vivid"))
+        texts.append(" ".join(w))
+    texts += [t[len(t) // 3 : len(t) // 3 + len(t) // 2] for t in texts[:20]] + ["short", "short", ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {x.doc_id: x for x in digest.fingerprints(frame).collect()}
+    like = {(a, b): digest.overlap(rows[a].digest, rows[b].digest) for a in rows for b in rows if a < b and rows[a].digest and rows[b].digest}
+    pairs = [p for p, s in like.items() if round(s, 4) >= 20.0]
+    same = {}
+    for k, t in enumerate(texts):
+        same.setdefault(t, k)
+    copies = [(same[t], k) for k, t in enumerate(texts) if same[t] != k]
+    assert len(pairs) >= 40
+    # Of the pairs whose digests are that alike, nine tenths share a group; and nothing else joins texts.
+    assert sum(rows[a].group_id == rows[b].group_id for a, b in pairs) >= 0.9 * len(pairs)
+    want = brute_groups(len(texts), pairs + copies)
+    assert all(want[a] == want[b] for a in rows for b in rows if rows[a].group_id == rows[b].group_id)
+    assert all(rows[a].group_id == rows[b].group_id for a, b in copies)
+
+
+def test_distances_against_the_table():
+    r = random.Random(1)
+    for wide in (False, True):
+        x, y, most = [], [], []
+        for _ in range(1500):
+            letters = r.choice(["ab", "abcé", "日本語x"] + ["🎉ab"] * wide)
+            a = [r.choice(letters) for _ in range(r.randrange(20))]
+            b = list(a)
+            for _ in range(r.randrange(8)):
+                k = r.randrange(len(b) + 1)
+                b[k : k + r.randrange(2)] = r.choice([[], [r.choice(letters)]])
+            x.append("".join(a))
+            y.append("".join(b))
+            most.append(r.randrange(7))
+        got = edits.within(pa.array(x), pa.array(y), np.array(most))
+        assert got.tolist() == [within(a, b, m) for a, b, m in zip(x, y, most)] and 200 < got.sum() < 1400
+    assert edits.within(pa.array([], pa.string()), pa.array([], pa.string()), np.zeros(0)).tolist() == []

@@ -7,10 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
+
 #: Languages that are not listed form families of their own.
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "fr": "romance", "es": "romance", "it": "romance", "pt": "romance"}
 SPACE, KNOWN = 1 << 14, 1 << 16
@@ -23,14 +24,6 @@ _LETTER = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 _FOLD = np.where(_LETTER, np.arange(256), 32).astype(np.uint8)
 
 
-def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of the lower-cased texts, nulls as empty."""
-    low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    offsets = np.frombuffer(low.buffers()[1], dtype=np.int64)[low.offset : low.offset + len(low) + 1]
-    data = np.frombuffer(low.buffers()[2], dtype=np.uint8) if low.buffers()[2] is not None else np.zeros(0, np.uint8)
-    return data, offsets
-
-
 def _trigrams(data: np.ndarray, offsets: np.ndarray):
     """Blocks (first position, hashes, validity) over the bytes: the trigram that begins at each position, valid if its middle is a letter and it ends within its document."""
     for lo in range(0, int(offsets[-1]), BLOCK):
@@ -58,7 +51,7 @@ def _sums(values: np.ndarray, lo: int, offsets: np.ndarray, into: np.ndarray) ->
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Per text the shares of its trigrams by hash (texts x SPACE), and which of the KNOWN hashes occur anywhere."""
-    data, offsets = _buffers(texts)
+    data, offsets = simhash.buffers(texts)
     x, seen = np.zeros((len(texts), SPACE), np.float32), np.zeros(KNOWN, bool)
     for lo, h, ok in _trigrams(data, offsets):
         at = np.flatnonzero(ok)
@@ -92,7 +85,7 @@ class Model:
     known: np.ndarray
 
     def predict(self, texts: pa.Array, min_known: float) -> dict[str, list]:
-        data, offsets = _buffers(texts)
+        data, offsets = simhash.buffers(texts)
         n = len(texts)
         score, total, known = np.zeros((len(self.weights), n)), np.zeros(n), np.zeros(n)
         for lo, h, ok in _trigrams(data, offsets):
@@ -111,7 +104,8 @@ class Model:
             votes[a][j] += s < 0
             edge[a][i] += s
             edge[a][j] -= s
-        best = [np.lexsort((e.T, v.T), axis=1)[:, -1] if len(m) else np.zeros(n, int) for m, v, e in zip(self.members, votes, edge)]
+        # Most votes, then the largest sum of margins, then the first name.
+        best = [np.lexsort((np.broadcast_to(np.arange(len(m)), (n, len(m))), -e.T, -v.T), axis=1)[:, 0] for m, v, e in zip(self.members, votes, edge)]
         share = np.where(total > 0, known / np.maximum(total, 1), 0.0)
         order = np.sort(score[:f], axis=0) if f else np.zeros((1, n))
         margin = order[-1] - order[-2] if f > 1 else np.zeros(n)
@@ -158,16 +152,6 @@ def train(docs: DataFrame, per_lang: int = 300, families: dict[str, str] = FAMIL
     return fit([r.text for r in rows], [r.lang for r in rows], families)
 
 
-def _chunks(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
-    """Slices of a batch whose text is about limit bytes, or one row."""
-    at = batch.schema.get_field_index(column)
-    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
-    for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(a, b - a)
-
-
 def identify(docs: DataFrame, model: Model | None = None, min_known: float = 0.5) -> DataFrame:
     """(doc_id, lang_id, family, margin, known, accepted) for every row of docs (doc_id, text, lang).
 
@@ -176,14 +160,15 @@ def identify(docs: DataFrame, model: Model | None = None, min_known: float = 0.5
     min_known, or without any trigram around a letter, belongs to no known language and is not accepted.
 
     Edge cases: a null, empty or letterless text is not accepted, with null language and family and known 0; null
-    langs are left out of the fit but identified; ties go to the first name; repeated rows are each returned; an
+    langs are left out of the fit but identified; ties between families, in a machine or between the votes (after the sum of
+    margins) go to the first name; repeated rows are each returned; an
     empty table, or one without labels, gives no accepted row; other columns are ignored.
     """
     model = model or train(docs)
 
     def run(batches):
         for batch in batches:
-            for part in _chunks(batch, "text"):
+            for part in simhash.chunks(batch, "text", 8 << 20):
                 found = model.predict(part.column(1), min_known)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found["lang_id"], pa.string()), pa.array(found["family"], pa.string()), pa.array(found["margin"], pa.float64()), pa.array(found["known"], pa.float64()), pa.array(found["accepted"], pa.bool_())], ["doc_id", "lang_id", "family", "margin", "known", "accepted"])
 
@@ -199,7 +184,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, min_known: floa
 
     def run(batches):
         for batch in batches:
-            for part in _chunks(batch, "text"):
+            for part in simhash.chunks(batch, "text", 8 << 20):
                 found = model.predict(part.column(part.schema.get_field_index("text")), min_known)
                 yield part.filter(pa.array(found["accepted"], pa.bool_()))
 

@@ -79,21 +79,48 @@ def codebooks(nodes: DataFrame, dim: int, size: int, rounds: int = 8) -> tuple[n
     return books[0], books[1]
 
 
-def cells_for(sample: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float, target: float, seed: int = 3) -> int:
-    """How many cells a query must visit to meet the cell of a vector at cosine least with chance target: counted for vectors drawn at just that distance from a sample."""
-    rng = np.random.default_rng(seed)
-    noise = rng.standard_normal(sample.shape).astype(np.float32)
-    noise -= (noise * sample).sum(axis=1, keepdims=True) * sample
-    noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
-    moved = least * sample + math.sqrt(max(0.0, 1 - least * least)) * noise
-    own = visited(moved, books, 1)[:, 0]
-    count, most = 4, len(books[0]) * len(books[1])
-    while True:
-        hit = np.sort((visited(sample, books, min(count, most)) == own[:, None]).argmax(axis=1) + np.where((visited(sample, books, min(count, most)) == own[:, None]).any(axis=1), 0, 10**9))
-        rank = int(hit[min(len(hit) - 1, math.ceil(target * len(hit)) - 1)])
-        if rank < 10**9 or count >= most:
+def ranks(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """For each row, how many cells lie nearer than the cell of a vector at cosine least from it; the direction is the row's own, its coordinates in another order and sign."""
+    half, n = x.shape[1] // 2, len(x)
+    rng = np.random.default_rng(3)
+    away = x[:, rng.permutation(x.shape[1])] * rng.choice([-1.0, 1.0], x.shape[1]).astype(np.float32)
+    away = away - (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
+    moved = least * x + math.sqrt(max(0.0, 1 - least * least)) * away
+    near = [_square(x[:, :half], books[0]).astype(np.float64), _square(x[:, half:], books[1]).astype(np.float64)]
+    at = [_square(moved[:, :half], books[0]).argmin(axis=1), _square(moved[:, half:], books[1]).argmin(axis=1)]
+    own = near[0][np.arange(n), at[0]] + near[1][np.arange(n), at[1]]
+    # All rows' distances to the second book stand in one sorted array, each row in a span of its own.
+    apart = 2 * max(float(near[1].max(initial=0)), float(own.max(initial=0))) + 1
+    row = np.arange(n)[:, None]
+    flat = (np.sort(near[1], axis=1) + row * apart).reshape(-1)
+    before = np.searchsorted(flat, np.clip(own[:, None] - near[0], -1e-9, apart - 1e-9) + row * apart) - row * near[1].shape[1]
+    return np.clip(before, 0, near[1].shape[1]).sum(axis=1)
+
+
+def cells_for(nodes: DataFrame, dim: int, books: tuple[np.ndarray, np.ndarray], least: float, target: float) -> int:
+    """How many cells a query must visit so that the share target of all vectors meets the cell of a vector at cosine least (see ranks()).
+
+    Counted over all nodes; ranks beyond 1,024 are rounded up by 12 %, so that the counts that come to the driver are few.
+    """
+
+    def count(batches):
+        for batch in batches:
+            x = _matrix(batch.column(0), dim)
+            for lo in range(0, len(x), 1000):
+                r = ranks(x[lo : lo + 1000], books, least)
+                r = np.where(r < 1024, r, np.ceil(1.12 ** np.ceil(np.log(np.maximum(r, 1)) / math.log(1.12))).astype(np.int64))
+                rank, n = np.unique(r, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rank.astype(np.int64)), pa.array(n.astype(np.int64))], ["rank", "n"])
+
+    found = sorted((r["rank"], r["n"]) for r in nodes.select("v").mapInArrow(count, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect())
+    need, most = target * sum(n for _, n in found), len(books[0]) * len(books[1])
+    met = 0
+    for rank, n in found:
+        met += n
+        if met >= need:
             return min(most, rank + 1)
-        count *= 2
+    return 1
 
 
 def cell_edges(cell: np.ndarray, query: np.ndarray, row: np.ndarray, x: np.ndarray, least: float, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
@@ -123,14 +150,14 @@ def cell_edges(cell: np.ndarray, query: np.ndarray, row: np.ndarray, x: np.ndarr
     return tuple(np.concatenate(f) for f in zip(*found))
 
 
-def near_duplicates(table: DataFrame, least: float = 0.9, target: float = 0.95, occupancy: int = 64, sample: int = 2000) -> DataFrame:
+def near_duplicates(table: DataFrame, least: float = 0.9, target: float = 0.95, occupancy: int = 64) -> DataFrame:
     """(vec_id, group_id, group_size, kept) for every row of table (vec_id, embedding).
 
     Two vectors are near duplicates if their cosine is at least least; groups are connected, and the row with the
     least vec_id of each stays. Vectors are put in the cell of their nearest centres; the books grow with the square
     root of the number of vectors, so that a cell holds about occupancy. Every vector is a query and visits its
-    nearest cells, as many as meet a vector at just that cosine with chance target (measured on a sample of vectors,
-    moved by that angle), and every cosine in a cell is computed.
+    nearest cells, as many as meet a vector at just that cosine with chance target (measured on all vectors,
+    each moved by that angle), and every cosine in a cell is computed.
 
     Edge cases: equal vectors are one node and always share a group; a null, empty or zero vector, one with a null
     or NaN, or one whose length isn't the most frequent one, stands alone; ties go to the least id; repeated rows
@@ -148,7 +175,7 @@ def near_duplicates(table: DataFrame, least: float = 0.9, target: float = 0.95,
     if count > 1:
         size = max(1, min(count, math.ceil(math.sqrt(count / occupancy))))
         books = codebooks(nodes, dim, size)
-        cells = cells_for(drawn(nodes, sample, count), books, least, target)
+        cells = cells_for(nodes, dim, books, least, target)
 
         def spread(batches):
             for batch in batches:

@@ -26,10 +26,15 @@ def _digest(text: Column) -> Column:
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """Response records (page_id, record_id, warc_date, target_uri, http_headers, payload, payload_digest) of fetched pages (page_id, url, html)."""
+    """Response records (page_id, record_id, warc_date, target_uri, http_headers, payload, payload_digest) of fetched pages (page_id, url, html).
+
+    Edge cases: a null html is an empty payload; a null or empty url becomes urn:page:<page_id>, and line ends in a url are
+    percent-encoded, as a header can't hold them; repeated rows give repeated records with equal ids; an empty table
+    gives an empty result; other columns are ignored. The pages have no date of their own, so all records carry date.
+    """
     html = F.coalesce(F.col("html"), F.lit(""))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    base = pages.select("page_id", F.coalesce(F.when(F.col("url") != "", F.col("url")), F.concat(F.lit("urn:page:"), page)).alias("target_uri"), html.alias("payload"), page.alias("page"))
+    base = pages.select("page_id", F.coalesce(F.when(F.col("url") != "", F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))), F.concat(F.lit("urn:page:"), page)).alias("target_uri"), html.alias("payload"), page.alias("page"))
     return base.select(
         "page_id",
         _uuid(F.concat(F.lit("response "), "page", F.lit(" "), "target_uri")).alias("record_id"),
@@ -117,7 +122,7 @@ def _oracle() -> str:
     uuid = lambda x: f"'<urn:uuid:' || md5({x})[1:8] || '-' || md5({x})[9:12] || '-3' || md5({x})[14:16] || '-8' || md5({x})[18:20] || '-' || md5({x})[21:32] || '>'"
     return rf"""
 WITH page AS (
-  SELECT page_id, coalesce(nullif(url, ''), 'urn:page:' || coalesce(page_id::VARCHAR, 'null')) AS target_uri,
+  SELECT page_id, coalesce(replace(replace(nullif(url, ''), chr(13), '%0D'), chr(10), '%0A'), 'urn:page:' || coalesce(page_id::VARCHAR, 'null')) AS target_uri,
          coalesce(html, '') AS payload, chr(13) || chr(10) AS nl, coalesce(page_id::VARCHAR, 'null') AS page
   FROM pages
 ), response AS (
