@@ -11,35 +11,49 @@ from ..functions.modifiers import SCOPE_COLUMNS, covers, exception_covers
 EXCEPTION, TLD, APEX = -3, -2, -1
 
 
-def targets(rules: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """What a rule can be covered by, under the key it is looked up by."""
+#: Rules up to which suffix wildcards, or exceptions, are sent to all tasks (some 30 MB) instead of shuffling every rule's keys for them.
+SENT = 200_000
+
+
+def targets(rules: DataFrame, exceptions: DataFrame) -> dict[str, DataFrame]:
+    """What a rule can be covered by, under the key it is looked up by: rules of the index, suffix wildcards and exceptions."""
     scope = [F.col(c).alias(f"t_{c}") for c in SCOPE_COLUMNS]
-    rule = rules.select(
-        F.when(F.col("section") == "tld_wildcard", F.concat(F.lit("t:"), "tld")).otherwise(F.concat(F.lit("r:"), "storage_key")).alias("key"),
-        F.col("o").alias("t_o"),
-        F.lit(False).alias("t_wild"),
-        *scope,
-    )
-    exc = exceptions.select(F.concat(F.lit("x:"), "domain").alias("key"), F.struct("ord", "tok").alias("t_o"), F.col("is_wildcard").alias("t_wild"), *scope)
-    return rule.unionByName(exc)
+    found = lambda df, key, o, wild: df.select(F.col(key).alias("key"), o.alias("t_o"), wild.alias("t_wild"), *scope)
+    suffix = F.col("section") == "tld_wildcard"
+    return {
+        "rule": found(rules.where(~suffix), "storage_key", F.col("o"), F.lit(False)),
+        "suffix": found(rules.where(suffix), "tld", F.col("o"), F.lit(False)),
+        "exception": found(exceptions, "domain", F.struct("ord", "tok"), F.col("is_wildcard")),
+    }
 
 
-def probes(rules: DataFrame) -> DataFrame:
-    """(o, key, place, own, scope columns): every key under which something might cover a rule."""
+def probes(rules: DataFrame, kind: str) -> DataFrame:
+    """(o, is_wildcard, scope columns, place, key, own): every key under which something of a kind of targets() might cover a rule."""
     p = F.col("parents")
-    at = lambda place, key: F.struct(F.lit(place).cast("int").alias("place"), key.alias("key"), F.lit(False).alias("own"))
-    exception_keys = F.concat(
-        F.array(F.struct(F.lit(EXCEPTION).alias("place"), F.concat(F.lit("x:"), "domain").alias("key"), F.lit(True).alias("own"))),
-        F.transform(p, lambda d: F.struct(F.lit(EXCEPTION).alias("place"), F.concat(F.lit("x:"), d).alias("key"), F.lit(False).alias("own"))),
-    )
+    at = lambda place, key, own=False: F.struct((F.lit(place) if isinstance(place, int) else place).cast("int").alias("place"), key.alias("key"), F.lit(own).alias("own"))
     none = F.array().cast("array<struct<place:int,key:string,own:boolean>>")
-    tld_key = F.when(F.col("tld").isNotNull() & (F.col("tld") != F.col("domain")), F.array(at(TLD, F.concat(F.lit("t:"), "tld")))).otherwise(none)
-    apex_key = F.when(F.col("is_wildcard"), F.array(at(APEX, F.concat(F.lit("r:"), "domain")))).otherwise(none)
-    level = F.transform(p, lambda d, i: F.array(F.struct((2 * i).cast("int").alias("place"), F.concat(F.lit("r:"), d).alias("key"), F.lit(False).alias("own")), F.struct((2 * i + 1).cast("int").alias("place"), F.concat(F.lit("r:*."), d).alias("key"), F.lit(False).alias("own"))))
-    keys = F.when(F.col("section") == "abp", F.concat(exception_keys, tld_key, apex_key, F.flatten(level))).otherwise(exception_keys)
+    if kind == "exception":
+        keys = F.concat(F.array(at(EXCEPTION, F.col("domain"), True)), F.transform(p, lambda d: at(EXCEPTION, d)))
+    elif kind == "suffix":
+        rules = rules.where((F.col("section") == "abp") & (F.col("tld") != F.col("domain")))
+        keys = F.array(at(TLD, F.col("tld")))
+    else:
+        rules = rules.where("section = 'abp' and (is_wildcard or size(parents) > 0)")
+        level = F.transform(p, lambda d, i: F.array(at(2 * i, d), at(2 * i + 1, F.concat(F.lit("*."), d))))
+        keys = F.concat(F.when(F.col("is_wildcard"), F.array(at(APEX, F.col("domain")))).otherwise(none), F.flatten(level))
     return rules.select("o", "is_wildcard", *SCOPE_COLUMNS, F.explode(keys).alias("k")).select("o", "is_wildcard", *SCOPE_COLUMNS, "k.*")
 
 
+def hits(rules: DataFrame, exceptions: DataFrame, sent: int = SENT) -> DataFrame:
+    """probes() joined with targets(). Suffix wildcards and exceptions are few beside the rules; up to sent of them are broadcast, more are joined by key as the rules are, with the same rows."""
+    out = None
+    for kind, found in targets(rules, exceptions).items():
+        small = kind != "rule" and found.limit(sent + 1).count() <= sent
+        part = probes(rules, kind).join(F.broadcast(found) if small else found, "key")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def judged(rules: DataFrame, exceptions: DataFrame) -> DataFrame:
     """rules with verdict (null if nothing covers or might cover it), by_o (the covering rule's position) and by_exception.
 
@@ -47,7 +61,7 @@ def judged(rules: DataFrame, exceptions: DataFrame) -> DataFrame:
     rule stands in the right place but its modifiers aren't proven as broad. The index isn't pruned first: a rule that
     goes itself still covers others, so one join is enough.
     """
-    hit = probes(rules).join(targets(rules, exceptions), "key")
+    hit = hits(rules, exceptions)
     child = lambda c: F.col(c)
     target = lambda c: F.col(f"t_{c}")
     is_exception = F.col("place") == EXCEPTION
@@ -58,7 +72,6 @@ def judged(rules: DataFrame, exceptions: DataFrame) -> DataFrame:
     found = hit.groupBy("o").agg(
         F.min(F.when(F.col("ok"), F.struct("place", "t_o"))).alias("sure"),
         F.min(F.when(~F.col("ok"), F.struct("place", "t_o"))).alias("maybe"),
-        F.min(F.when(is_exception, F.col("t_o"))).alias("exception_o"),
         F.min(F.when(F.col("place") == TLD, F.col("t_o"))).alias("tld_o"),
     )
     out = rules.join(found, "o", "left")
@@ -83,5 +96,5 @@ def judged(rules: DataFrame, exceptions: DataFrame) -> DataFrame:
         out.withColumn("by_o", F.when(F.col("verdict").isNotNull(), F.coalesce("sure.t_o", "maybe.t_o")))
         .withColumn("by_exception", F.when(F.col("verdict").isNotNull(), F.coalesce(place, maybe) == EXCEPTION))
         .withColumn("detail", F.when(uncertain, detail))
-        .drop("sure", "maybe", "exception_o", "tld_o")
+        .drop("sure", "maybe", "tld_o")
     )

@@ -51,22 +51,24 @@ def decisions(done: Compiled) -> DataFrame:
     nobody = F.lit(None).cast(done.kept.schema["o"].dataType)
     at = lambda o, sub: F.struct(nobody.alias("key_o"), o.alias("o"), F.lit(sub).alias("sub"))
     first = F.struct(c("ord"), F.lit(0).alias("tok"))
-    lines = done.routed
+    # Only lines that a decision is about are resolved further.
+    quiet = "route = 'nonblocking' or (route = 'malformed' and effect in ('unsupported', 'disable', 'rewrite', 'ignored'))"
+    lines = done.routed.where(f"({quiet}) or (kind = 'regex' and route = 'other')")
     domain = F.when(c("kind") == "abp", c("abp_domain")).when(c("kind") == "hosts", F.coalesce(F.get("domains", F.lit(0)), F.lit(""))).when(c("kind") == "plain_domain", F.lower("pattern")).otherwise("")
     lines = lines.withColumn("domain", domain)
     shaped = with_suffix(lines)
     shape = F.when(c("kind") == "regex", "regex").otherwise(domain_shape(c("domain"), c("abp_wildcard")))
     urgent = F.size(F.filter("mods", lambda m: (m["name"] == "important") & ~m["negated"] & m["raw_value"].isNull())) == 1
     shaped = shaped.withColumn("facet", _facet(c("line"), c("line"), c("kind"), c("kind"), c("domain"), shape, c("effect"), c("scope"), urgent, c("docs_source"), signature_parts(c("mods"))))
-    quiet = shaped.where("route = 'nonblocking' or (route = 'malformed' and effect in ('unsupported', 'disable', 'rewrite', 'ignored'))")
     changed = c("effect") == "rewrite"
     why = F.when(c("effect") == "unsupported", "unsupported_modifier_removed").when(c("effect") == "disable", "badfilter_disabled").when(changed, "dnsrewrite_changed").otherwise("ignored_nonblocking")
     delta = F.when(changed, "changed").otherwise("not_applicable")
-    parts = [_decision(quiet, 1, at(first, 0), "nonblocking", F.when(changed, "changed").otherwise("removed"), "not_applicable", why, delta, delta, c("reason"))]
+    parts = [_decision(shaped.where(quiet), 1, at(first, 0), "nonblocking", F.when(changed, "changed").otherwise("removed"), "not_applicable", why, delta, delta, c("reason"))]
     regex = shaped.where("kind = 'regex' and route = 'other'").join(done.others.select("line", F.col("ord").alias("first_ord")), "line").where("ord = first_ord")
     parts.append(_decision(regex, 1, at(first, 0), "regex_uncertain", "kept", "uncertain", "regex_uncertain_kept", "uncertain", "uncertain", c("reason")))
 
-    rules = _record_facets(with_suffix(done.rules))
+    repeated = done.rules.where("nth > 1").select("kept_o", F.lit(True).alias("has_twin")).distinct()
+    rules = _record_facets(with_suffix(done.rules.join(repeated, "kept_o", "left").where("promoted or has_twin").drop("has_twin")))
     o = F.struct("ord", "tok")
     twins = rules.where("nth > 1").join(rules.where("nth = 1").select(c("kept_o").alias("k_o"), c("facet").alias("kept_facet")), c("kept_o") == c("k_o"))
     parts.append(_decision(twins, 1, at(o, 0), "duplicate", "pruned", "proven", "duplicate_rule", "preserved", "preserved", none, c("kept_facet")))
