@@ -48,7 +48,7 @@ def _batch(runs: _Runs, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.nda
     out = np.zeros(len(a), bool)
     live = np.arange(len(a))
     # reach[:, k + 1 + d]: characters of a used up on diagonal d (place in b less place in a); -2 is nowhere.
-    a, la, b, lb = (v.astype(np.int32 if len(runs.padded) < 2**31 else np.int64) for v in (a, la, b, lb))
+    a, la, b, lb, most = (v.astype(np.int32 if len(runs.padded) < 2**31 else np.int64) for v in (a, la, b, lb, most))
     reach = np.full((len(a), 2 * k + 3), -2, la.dtype)
     for e in range(k + 1):
         lo, hi = k + 1 - e, k + 2 + e
@@ -59,7 +59,8 @@ def _batch(runs: _Runs, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.nda
             # An edit drops a character of a, replaces one, or adds one of b.
             x = np.maximum(np.maximum(reach[:, lo + 1 : hi + 1] + 1, reach[:, lo:hi] + 1), reach[:, lo - 1 : hi - 1])
         x = np.minimum(np.minimum(x, la[live][:, None]), lb[live][:, None] - d)
-        good = (x >= 0) & (x + d >= 0)
+        # A diagonal counts only while the edits that are left can lead from it to the end.
+        good = (x >= 0) & (x + d >= 0) & (np.abs(d - (lb - la)[live][:, None]) <= (most[live] - e)[:, None])
         cell = np.flatnonzero(good)
         own = live[cell // x.shape[1]]
         at = x.reshape(-1)[cell]
