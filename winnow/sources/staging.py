@@ -15,13 +15,19 @@ def _private() -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table under spark.checkpoint.dir, read again: a short plan, true sizes, and no recomputation if an executor is lost."""
+    """df as a Parquet table under spark.checkpoint.dir, read again: a short plan, true sizes, and no recomputation if an executor is lost.
+
+    Results are read later than this, so the table stays until the application ends.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _private()
     path = f"{base.rstrip('/')}/lists-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
