@@ -34,10 +34,13 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again, so that later steps don't depend on lost executors.
 
-    Parquet rather than checkpoint(): the files are compressed by column and give the planner the true size.
+    Parquet rather than checkpoint(): the files are compressed by column and give the planner the true size. Results are
+    read later than this, so the table stays until the application ends, or until discard().
     """
     path = f"{shared_folder(df.sparkSession)}/winnow-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(there)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._winnow_path = path
     return out
@@ -124,16 +127,17 @@ def components(edges: DataFrame, in_one_task: int = EDGES_IN_ONE_TASK) -> DataFr
         return now.coalesce(1).mapInArrow(_in_one_task, "node long, label long")
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = Window.partitionBy("a")
+        # The least neighbour comes from a partial aggregate and a join, which Spark splits where a hub is large, and not from a window that one task fills.
+        least = lambda df: df.groupBy("a").agg(F.min("b").alias("m"))
         large = (
-            both.withColumn("m", F.least(F.min("b").over(near), "a"))
-            .where("b > a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
+            both.where("b > a")
+            .join(least(both), "a")
+            .select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
             .where("a <> b")
             .distinct()
         )
         small = (
-            large.withColumn("m", F.min("b").over(near))
+            large.join(least(large), "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.greatest("b", "m").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
