@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import urllib.error
 
 import pytest
@@ -234,6 +235,28 @@ def test_a_folder_becomes_one_file(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "stream")).where("line is not null").count() >= 4
 
 
+def test_lines_of_files_read_in_blocks(spark, tmp_path):
+    """Files cut into many blocks, with every kind of line end, marks, undecodable bytes and last lines with and without an end."""
+    r = random.Random(1)
+    files = {"a.txt": b"x\ny\r\nz", "b.txt": b"\xef\xbb\xbfone\ntwo\n", "c.txt": b"\xef\xbb\xbfone\ntwo", "d.txt": b"p\rq\r", "e.txt": b"\n\n", "f.txt": b"\xff\xfebad\nok\n", "g.txt": b"p\rq", "h.txt": b""}
+    for k, end in enumerate((b"\n", b"\r\n", b"\r") * 2):
+        files[f"r{k}.txt"] = end.join(b"line%d " % i + b"x" * r.randrange(40) for i in range(60)) + (end if k % 2 else b"")
+    want = []
+    for n, name in enumerate(sorted(x for x in files if files[x])):
+        lines = io.StringIO(files[name].decode("utf-8-sig", "replace"), newline=None)
+        want += [(n, name, no, x.rstrip("\n"), x.endswith("\n")) for no, x in enumerate(lines, 1)]
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        spark.conf.set("spark.sql.files.openCostInBytes", "8")
+        assert lists._text(spark, str(tmp_path)).select("file_name", "block").distinct().count() > 100
+        assert [tuple(x) for x in lists.read_lists(spark, str(tmp_path)).orderBy("file_idx", "line_no").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 @pytest.mark.parametrize("files", [{}, {"a.txt": "", "b.txt": ""}])
 def test_no_lines_at_all(spark, tmp_path, files):
     raw = tmp_path / "raw"

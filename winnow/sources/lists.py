@@ -9,18 +9,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _text(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """(value, file_name, block, size, at) of the *.txt files of a folder as the text reader splits them; at rises within a block."""
+    rows = spark.read.options(**options).text(folder, pathGlobFilter="*.txt")
+    return rows.select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"))
+
+
 def read_lists(spark: SparkSession, folder: str) -> DataFrame:
     """(file_idx, file_name, line_no, raw, had_newline) of the *.txt files of a folder, files by name, lines from 1.
 
     Lines end at \\n, \\r or \\r\\n; a byte order mark at the start of a file is dropped; undecodable bytes become U+FFFD.
+    Large files are read in blocks by several tasks. The rows of each block are counted first, so a line's number is that of
+    the lines in the blocks before its own, and its place in that one; what is joined has a row for each block.
     """
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_name").alias("file_name"))
-    names = files.select("file_name").distinct().withColumn("file_idx", F.row_number().over(Window.orderBy("file_name")) - 1)
-    text = F.regexp_replace("value", "^﻿", "")
-    lines = files.select("file_name", F.split(text, "\r\n|\r|\n").alias("parts")).select("file_name", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "raw"))
-    # What follows the last line end is a line only if it isn't empty.
-    lines = lines.where((F.col("at") < F.col("n") - 1) | (F.col("raw") != ""))
-    return lines.join(F.broadcast(names), "file_name").select("file_idx", "file_name", (F.col("at") + 1).cast("long").alias("line_no"), "raw", (F.col("at") < F.col("n") - 1).alias("had_newline"))
+    text = _text(spark, folder)
+    blocks = text.groupBy("file_name", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    ahead = Window.partitionBy("file_name").orderBy("block")
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = blocks.withColumn("lines", F.sum("n").over(Window.partitionBy("file_name")))
+    # Split at \n alone, lines and their ends make up the file's size, or one more if the last has no end, or three less with a byte order mark.
+    plain = _text(spark, folder, lineSep="\n").groupBy("file_name").agg((F.sum(F.octet_length("value") + 1) - F.first("size")).alias("over"), F.max_by(F.substring("value", -1, 1), F.struct("block", "at")).alias("last"))
+    files = plain.select("file_name", (F.col("over").isin(1, -2) & (F.col("last") != "\r")).alias("open"))
+    names = blocks.select("file_name").distinct().withColumn("file_idx", F.row_number().over(Window.orderBy("file_name")) - 1)
+    known = blocks.join(names, "file_name").join(files, "file_name").select("file_name", "block", "file_idx", "first", "before", "lines", "open")
+    rows = text.join(F.broadcast(known), ["file_name", "block"]).withColumn("line_no", F.col("before") + F.col("at") - F.col("first") + 1)
+    raw = F.when(F.col("line_no") == 1, F.regexp_replace(F.make_valid_utf8("value"), "^\ufeff", "")).otherwise(F.make_valid_utf8("value"))
+    return rows.select("file_idx", "file_name", "line_no", raw.alias("raw"), ((F.col("line_no") < F.col("lines")) | ~F.col("open")).alias("had_newline"))
 
 
 def count_files(spark: SparkSession, folder: str) -> tuple[int, int]:
