@@ -59,6 +59,18 @@ def test_shards_are_balanced(spark):
         assert max(load) <= 1.15 * sum(load) / len(load)
 
 
+def test_shards_of_several_blocks_are_balanced(spark):
+    r = random.Random(3)
+    rows = [(k, " ".join("word" * r.randrange(1, 4) for _ in range(r.randrange(50, 400))), f"s{min(k % 37, 9)}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sharding.shard(docs, target_bytes=128 << 10, shards_per_block=8).groupBy("shard").agg({"bytes": "sum", "tokens": "sum", "doc_id": "count"}).collect()
+    assert len({x.shard // 1_000_000 for x in got}) >= 3 and len(got) >= 24
+    for column in ("sum(bytes)", "sum(tokens)", "count(doc_id)"):
+        load = [x[column] for x in got]
+        # Blocks get their groups by hash, so shards of different blocks differ more than those of one.
+        assert max(load) <= 1.5 * sum(load) / len(load), column
+
+
 def test_nnls_meets_the_optimality_conditions():
     r = np.random.default_rng(4)
     for _ in range(20):
@@ -528,3 +540,28 @@ def test_distances_against_the_table():
         got = edits.within(pa.array(x), pa.array(y), np.array(most))
         assert got.tolist() == [within(a, b, m) for a, b, m in zip(x, y, most)] and 200 < got.sum() < 1400
     assert edits.within(pa.array([], pa.string()), pa.array([], pa.string()), np.zeros(0)).tolist() == []
+
+
+def test_the_pipeline_as_a_whole(spark, tmp_path):
+    import shutil
+
+    import corpus_pipeline
+
+    shutil.copytree(SF, tmp_path / "sf", ignore=lambda d, names: [n for n in names if n != "documents.parquet"])
+    docs = spark.read.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path / "sf")).collect()
+    accepted = {r.doc_id for r in langid.identify(docs).where("accepted").collect()}
+    cleaned = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs.where(docs.doc_id.isin(list(accepted)))).collect()}
+    alive = {i: t for i, t in cleaned.items() if (t or "").strip()}
+    placed = {}
+    for r in packed:
+        placed[r.doc_id] = placed.get(r.doc_id, 0) + r.n_tokens
+    assert set(placed) <= set(alive) and all(n == len(alive[i].split()) for i, n in placed.items())
+    # Whatever went at the third stage has a near duplicate with a smaller id that stayed or went for another; what stayed has none within 12 bits.
+    ids = sorted(alive)
+    fp, _ = simhash.of_texts(pa.array([alive[i] for i in ids]))
+    far = np.bitwise_count(fp[:, None] ^ fp[None]).sum(-1)
+    for k, i in enumerate(ids):
+        nearest = far[k, :k].min(initial=999)
+        assert (nearest > 12) if i in placed else (nearest <= 24 or far[k, k + 1 :].min(initial=999) <= 24), i
+    assert len(placed) < len(ids) or (far + 999 * np.eye(len(ids), dtype=int) > 24).all()
