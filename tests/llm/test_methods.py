@@ -311,7 +311,7 @@ def test_pairs_at_the_limit_are_found_as_often_as_promised(spark, monkeypatch, k
 
 def test_the_number_of_shuffled_keys_grows_slowly():
     counts = [[simhash.tries(max(least, int(np.ceil(np.log2(n / forest.ROWS_IN_BUCKET)))), limit, target) for n in (10**4, 10**8, 10**11)] for least, limit, target in ((10, 19, 0.91), (5, 24, 0.955))]
-    assert counts[0][0] == counts[0][1] <= 14 and counts[0][2] <= 50 and counts[1][0] <= 10 and counts[1][2] <= 120
+    assert counts[0][0] == counts[0][1] <= 14 and counts[0][2] <= 50 and counts[1][0] <= 10 and counts[1][2] <= 150
 
 
 def test_ranks_count_the_nearer_cells():
