@@ -176,8 +176,8 @@ def url_filenames(spark, sf_dir):
 
 
 _CHANGES = """change AS (SELECT event_id, 900 + (event_id * 7919) % 2500000 AS current_count, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN (event_id % 2) * 0 ELSE 800 + (event_id * 104729) % 1500000 END AS previous_count FROM events),
-moved AS (SELECT *, abs(current_count - previous_count) AS d, coalesce(previous_count > 0, false) AS some FROM change),
-judged_change AS (SELECT *, some AND current_count < previous_count AND d > 0.25 * previous_count AS fell, some AND current_count >= previous_count AND d > previous_count AS rose, some AND d > 1000000 AS far FROM moved)"""
+moved AS (SELECT *, abs(current_count - previous_count) AS d, coalesce(previous_count > 0, false) AS known FROM change),
+judged_change AS (SELECT *, known AND current_count < previous_count AND d > 0.25 * previous_count AS fell, known AND current_count >= previous_count AND d > previous_count AS rose, known AND d > 1000000 AS far FROM moved)"""
 
 
 @query(
@@ -187,7 +187,7 @@ judged_change AS (SELECT *, some AND current_count < previous_count AND d > 0.25
   SELECT 'previous_output_unavailable' AS code, 'warning' AS severity, event_id FROM judged_change WHERE previous_count IS NULL UNION ALL SELECT 'previous_output_empty', 'warning', event_id FROM judged_change WHERE previous_count <= 0
   UNION ALL SELECT 'previous_output_extreme_drop', 'error', event_id FROM judged_change WHERE fell UNION ALL SELECT 'previous_output_extreme_increase', 'error', event_id FROM judged_change WHERE rose
   UNION ALL SELECT 'previous_output_extreme_absolute_delta', 'error', event_id FROM judged_change WHERE far
-  UNION ALL SELECT 'previous_output_moderate_delta', 'warning', event_id FROM judged_change WHERE some AND NOT fell AND NOT rose AND NOT far AND d > 0.1 * previous_count) GROUP BY ALL""",
+  UNION ALL SELECT 'previous_output_moderate_delta', 'warning', event_id FROM judged_change WHERE known AND NOT fell AND NOT rose AND NOT far AND d > 0.1 * previous_count) GROUP BY ALL""",
     )
 )
 def previous_findings(spark, sf_dir):
@@ -213,7 +213,7 @@ def count_findings(spark, sf_dir):
     using(
         RECORDS,
         """SELECT DISTINCT domain, is_wildcard, CASE WHEN domain = '' THEN 'none' WHEN is_wildcard AND tld = domain THEN 'tld_wildcard' WHEN is_wildcard THEN 'wildcard' WHEN len(parents) > 0 THEN 'subdomain' WHEN registered = domain THEN 'registered_domain' WHEN tld = domain THEN 'tld' ELSE 'apex' END AS shape
-FROM (SELECT DISTINCT domain, is_wildcard FROM records) JOIN suf3 USING (domain)""",
+FROM (SELECT DISTINCT domain, is_wildcard FROM records WHERE NOT is_exception) JOIN suf3 USING (domain)""",
     )
 )
 def domain_shapes(spark, sf_dir):
