@@ -72,6 +72,19 @@ def test_lines_of_edges(spark):
     assert kept.columns == documents(spark).columns and kept.where("doc_id = 2").count() == 0
 
 
+def test_own_columns_stay_and_the_survivor_does_not_depend_on_order(spark):
+    text = "One line that stands here alone.\nAnother line that nobody repeats."
+    rows = [(1, text, "en", "x"), (1, text, "de", "y"), (1, text, None, None), (2, "Something else altogether, with words.", "fr", "z")]
+    for run in (line_dedup.drop_repeated_lines, near_dedup.drop_near_duplicates):
+        kept = []
+        for order in (rows, rows[::-1]):
+            docs = spark.createDataFrame(order, "doc_id long, text string, lang string, __w_a string").withColumns({"__W_N": F.lit(1), "__w_text": F.lit(2), "extra": F.create_map(F.lit("k"), F.col("lang"))})
+            out = run(docs)
+            assert out.columns == docs.columns
+            kept.append(sorted(map(repr, out.collect())))
+        assert len(kept[0]) == 2 and kept[0] == kept[1]
+
+
 def test_digests_of_edges(spark):
     got = digest.fingerprints(documents(spark)).collect()
     one = {r.doc_id: r for r in got}
