@@ -158,6 +158,28 @@ def test_buckets_against_brute_force(monkeypatch, wide):
         assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
 
 
+@pytest.mark.parametrize("crowd", [3, 40, 10_000])
+def test_rows_in_order_of_size_against_brute_force(crowd):
+    r = np.random.default_rng(1)
+    for _ in range(30):
+        n, limit = int(r.integers(0, 300)), 10
+        key = r.integers(0, 15, n).astype(np.uint64)
+        fp = r.integers(0, 2**63, (25, 2)).astype(np.uint64)[r.integers(0, 25, n)].copy()
+        for _ in range(r.integers(0, 14)):
+            fp[:, 0] ^= np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
+        size = np.sort(r.integers(1, 40, n))
+        near = (np.bitwise_count(fp[:, None] ^ fp[None]).sum(-1) <= limit) & (key[:, None] == key[None])
+        fits = near & (np.minimum(size[:, None], size[None]) >= 0.8 * np.maximum(size[:, None], size[None]) - 1e-6)
+        i, j, label = forest.sized_edges(key, fp, size, limit, 0.8, np.arange(n), True, crowd)
+        assert near[i, j].all() and len(i) < max(1, n)
+        groups = brute_groups(n, zip(i.tolist(), j.tolist()))
+        assert all(groups[a] == groups[b] and label[a] == label[b] for a, b in np.argwhere(fits).tolist())
+        label = r.integers(0, 5, n)
+        i, j, _ = forest.sized_edges(key, fp, size, limit, 0.8, label, False, crowd)
+        want = {tuple(sorted(p)) for p in np.argwhere(fits & (label[:, None] != label[None])).tolist()}
+        assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
+
+
 def morse(n):
     """Two strings that a polynomial modulo 2^64 can't tell apart."""
     a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))

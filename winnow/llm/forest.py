@@ -203,6 +203,89 @@ def cross_pairs(key: np.ndarray, label: np.ndarray, fp: np.ndarray, limit: int,
     return i, j
 
 
+def spanning(i: np.ndarray, j: np.ndarray, label: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) those of a forest that joins the same labels, the closest first, so that other buckets with the same rows choose the same (Boruvka)."""
+    bits = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64)
+    order = np.lexsort((fp[i, 0] ^ fp[j, 0], bits))
+    i, j = i[order], j[order]
+    names, at = np.unique(label[np.concatenate((i, j))], return_inverse=True)
+    a, b = at.reshape(2, -1)
+    group, keep = np.arange(len(names)), np.zeros(len(i), bool)
+    live = np.flatnonzero(a != b)
+    while len(live):
+        best = np.full(len(names), len(i))
+        for end in (a, b):
+            np.minimum.at(best, group[end[live]], live)
+        chosen = np.unique(best[best < len(i)])
+        keep[chosen] = True
+        group = merged(group[a[chosen]], group[b[chosen]], np.arange(len(names)))[2][group]
+        live = live[group[a[live]] != group[b[live]]]
+    return i[keep], j[keep]
+
+
+def sized_pairs(order: np.ndarray, key: np.ndarray, fp: np.ndarray, size: np.ndarray, limit: int, ratio: float, label: np.ndarray, join: bool, block: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (i, j) of equal key and different label, within limit bits and of sizes within ratio, and the labels.
+
+    order: the rows to compare, by key and size, so that a row's partners are those right behind it. With join, labels fall together
+    on the way, and no more pairs are returned than that takes; otherwise all of them are, and labels stay.
+    """
+    key, size = key[order], size[order]
+    f0, f1 = fp[order, 0], fp[order, 1]
+    most = np.floor(size / ratio + 1e-6).astype(size.dtype)
+    none = np.zeros(0, np.int64)
+    found, hits, held = [(none, none)], [], 0
+    for start in range(0, len(key) - 1, block):
+        i, gap = np.arange(start, min(start + block, len(key) - 1)), 1
+        while len(i):
+            j = i + gap
+            # Behind the first row that is too large, or of another key, a row has no partner.
+            on = (key[j] == key[i]) & (size[j] <= most[i])
+            i, j = i[on], j[on]
+            at = np.flatnonzero(np.bitwise_count(f0[i] ^ f0[j]) <= limit)
+            if len(at):
+                x, y = i[at], j[at]
+                ok = np.bitwise_count(f0[x] ^ f0[y]).astype(np.int16) + np.bitwise_count(f1[x] ^ f1[y]) <= limit
+                x, y = order[x[ok]], order[y[ok]]
+                ok = label[x] != label[y]
+                hits.append((x[ok], y[ok]))
+                held += len(hits[-1][0])
+            if join and held > 20_000:
+                x, y, label = merged(*spanning(*(np.concatenate(v) for v in zip(*hits)), label, fp), label)
+                found.append((x, y))
+                hits, held = [], 0
+            gap += 1
+            i = i[i < len(key) - gap]
+    if held:
+        x, y = (np.concatenate(v) for v in zip(*hits))
+        if join:
+            x, y, label = merged(*spanning(x, y, label, fp), label)
+        found.append((x, y))
+    x, y = (np.concatenate(v) for v in zip(*found))
+    return x, y, label
+
+
+def sized_edges(key: np.ndarray, fp: np.ndarray, size: np.ndarray, limit: int, ratio: float, label: np.ndarray, join: bool, crowd: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As sized_pairs(), of rows that come in order of size; keys of more than crowd rows go to bucket_edges() or cross_pairs(), whose work is less where most rows are of one group."""
+    # Numpy sorts 16 bits by counting.
+    order = np.argsort(key.astype(np.uint16) if len(key) and key.max() < 1 << 16 else key, kind="stable")
+    many = _buckets(key[order])[1] if len(key) else np.zeros(0, np.int64)
+    large = np.repeat(many > crowd, many)
+    i, j, label = sized_pairs(order[~large], key, fp, size, limit, ratio, label, join)
+    r = order[large]
+    if len(r):
+        _, k = np.unique(key[r], return_inverse=True)
+        _, at = np.unique(label[r], return_inverse=True)
+        if join:
+            least = np.full(int(at.max()) + 1, len(r))
+            np.minimum.at(least, at, np.arange(len(r)))
+            x, y, _ = bucket_edges(k, fp[r], limit, least[at], size[r], ratio)
+            x, y, label = merged(r[x], r[y], label)
+        else:
+            x, y = (r[v] for v in cross_pairs(k, label[r], fp[r], limit, size[r], ratio))
+        i, j = np.concatenate((i, x)), np.concatenate((j, y))
+    return i, j, label
+
+
 class Forest:
     """Tries over nodes (node, f0, f1 and, with a ratio, size) that find the pairs within limit bits, each with chance target at least.
 
@@ -220,6 +303,9 @@ class Forest:
         self.inner = 1 - (1 - target) / 10
         self.depth = max(least, math.ceil(math.log2(max(1, self.count) / ROWS_IN_BUCKET)))
         self.how_many = simhash.tries(self.depth, limit, target / self.inner)
+        if blocks:
+            # What one bucket misses another may find: 1 - (1 - chance of the block * inner) ** how_many is the target.
+            self.inner = (1 - (1 - target) ** (1 / self.how_many)) / simhash.survives(self.depth, limit)
         rng = np.random.default_rng(5)
         self.places = []
         while len(self.places) < self.how_many:
@@ -268,10 +354,17 @@ class Forest:
                 rows = key_of[np.repeat(begin[some] - (np.cumsum(many[some]) - many[some]), many[some]) + np.arange(int(many[some].sum()))]
                 bucket = np.repeat(np.arange(len(some), dtype=np.uint64), many[some])
                 f, s, group = fp[rows], None if size is None else size[rows], None
+                if size is not None:
+                    # By size over all buckets, so that sorting by key keeps the rows of each key in order of size.
+                    by = np.argsort(s, kind="stable")
+                    rows, bucket, f, s = rows[by], bucket[by], f[by], s[by]
+                    group = label[rows] if labelled else np.arange(len(rows))
                 rng = np.random.default_rng(100 + trie)
                 for _ in range(simhash.tries(int(d), limit, target, len(free)) if d else 1):
                     k = (bucket << np.uint64(d)) | simhash.bits_of(f, rng.permutation(free)[:d])
-                    if labelled:
+                    if size is not None:
+                        i, j, group = sized_edges(k, f, s, limit, ratio, group, not labelled, 8 * occupancy)
+                    elif labelled:
                         i, j = cross_pairs(k, label[rows], f, limit, s, ratio)
                     else:
                         i, j, group = bucket_edges(k, f, limit, group, s, ratio)

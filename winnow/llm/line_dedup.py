@@ -62,7 +62,7 @@ def line_groups(docs: DataFrame, similarity: float = 0.9, limit: int = 19, targe
     between their parts verified. So a crowd of copies costs no more than its size, and no candidate is left out.
     """
     lines, nodes = nodes_of(cut(_lines(docs), "lines"), ["f0", "f1", "size", "doc", "text_key", "line_no"])
-    forest = Forest(nodes, limit, target, least=10, occupancy=4096, blocks=True, ratio=similarity)
+    forest = Forest(nodes, limit, target, least=10, occupancy=256, blocks=True, ratio=similarity)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """(node, line): the normalised line, fetched from one document that has it."""
