@@ -564,6 +564,35 @@ def test_distances_against_the_table():
     assert edits.within(pa.array([], pa.string()), pa.array([], pa.string()), np.zeros(0)).tolist() == []
 
 
+@pytest.mark.parametrize("band, few", [(0, 0), (1, 0), (3, 0), (3, 600)])
+def test_bands_of_bits_against_the_table(monkeypatch, band, few):
+    monkeypatch.setattr(edits, "BAND", band)
+    monkeypatch.setattr(edits, "FEW", few)
+    monkeypatch.setattr(edits, "NEAR", 3)
+    r = random.Random(2)
+    rows = []
+    for k in range(240):
+        alphabet = r.choice(["ab", "abcdefgh ", "aé日🎉b"])
+        x = [r.choice(alphabet) for _ in range(r.choice([3, 40, 130, 260]))]
+        y = list(x)
+        for _ in range(r.randrange(0, 1 + len(x) // 3)):
+            at = r.randrange(len(y) + 1)
+            y[at : at + r.randrange(2)] = r.choice(alphabet) * r.randrange(2)
+        far = by_the_table("".join(x), "".join(y))
+        rows += [("".join(x), "".join(y), max(0, far + d), d >= 0) for d in (-9, -1, 0, 1, 50) if far + d >= 0]
+    x, y, most, want = zip(*rows)
+    assert edits.within(pa.array(x), pa.array(y), np.array(most)).tolist() == list(want)
+
+
+def by_the_table(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row = row, [i]
+        for j, d in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+    return row[-1]
+
+
 def test_the_pipeline_as_a_whole(spark, tmp_path):
     import shutil
 

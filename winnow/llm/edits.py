@@ -8,6 +8,14 @@ import pyarrow.compute as pc
 
 #: Cells of the tables of one batch of pairs.
 CELLS = 1 << 20
+#: Words of 64 bits that the band of a pair may take where columns are computed for all pairs at once.
+BAND = 3
+#: Edits up to which furthest-reaching points are tried for pairs of a wider band, before their bits are computed pair by pair.
+NEAR = 32
+#: Pairs of one batch of bands, and words of its table of characters.
+PAIRS, TABLE = 4096, 1 << 22
+#: Pairs times the square of the distance, for each word and character, from which bands are faster.
+FEW = 600
 
 
 def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +88,124 @@ def _batch(runs: _Runs, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.nda
     return out
 
 
+def _numbered(code: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many code points there are, and the code points as numbers from 0 on."""
+    if code.itemsize > 2:
+        kinds, ids = np.unique(code, return_inverse=True)
+        return len(kinds), ids
+    there = np.zeros(1 << 16, bool)
+    there[code] = True
+    return int(there.sum()), (np.cumsum(there) - 1)[code]
+
+
+def _banded(ids: np.ndarray, kinds: int, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, most: np.ndarray, words: int) -> np.ndarray:
+    """The band of most diagonals to either side, as bits of vertical differences, a column of all pairs at a time (Myers; Hyyro's band).
+
+    ids: code points as numbers under kinds. a is the longer one of each pair and longer than most; 2 * most + 1 bits fit into words. The work
+    grows with the length, and hardly with the distance.
+    """
+    order = np.argsort(-lb, kind="stable")
+    a, la, b, lb, most = (v[order] for v in (a, la, b, lb, most))
+    n, bits, one = len(a), 64 * words, np.uint64(1)
+    every = lambda length: (np.repeat(np.arange(n), length), np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length))
+    # Place of a's characters among the bits: the band of column i begins at bit i for every pair.
+    p, k = every(la)
+    bit = k + bits - 1 - most[p]
+    table = np.zeros(((int(bit.max()) + bits) // 64 + 2, kinds * n), np.uint64)
+    np.add.at(table.reshape(-1), ((bit >> 6) * kinds + ids[a[p] + k]) * n + p, one << (bit & 63).astype(np.uint64))
+    p, k = every(lb)
+    column = np.zeros((int(lb[0]), n), np.int64)
+    column[k, p] = ids[b[p] + k].astype(np.int64) * n + p
+    # The rows from 0 to most are in the band at first.
+    grid = np.arange(bits).reshape(words, 64)[:, :, None] >= bits - 1 - most
+    vp = list(np.packbits(grid, axis=1, bitorder="little").transpose(0, 2, 1).copy().view(np.uint64)[:, :, 0])
+    vn = [np.zeros(n, np.uint64) for _ in range(words)]
+    score = most.astype(np.int64)
+    # Up to there the score follows the last diagonal, and from there the last row.
+    turn = la - most
+    first_turn = np.minimum.accumulate(turn)
+    count = np.searchsorted(-lb, -np.arange(int(lb[0])), "left")
+    m = n
+    for i in range(int(lb[0])):
+        if count[i] < m:
+            m = int(count[i])
+            vp, vn = [v[:m] for v in vp], [v[:m] for v in vn]
+        at, word, low = column[i, :m], i >> 6, np.uint64(i & 63)
+        part = [table[word + w].take(at) for w in range(words + (i & 63 > 0))]
+        x = [(part[w] >> low) | (part[w + 1] << (np.uint64(64) - low)) for w in range(words)] if i & 63 else part
+        d0, hp, hn, carry = [], [], [], None
+        for w in range(words):
+            t = x[w] & vp[w]
+            s = t + vp[w]
+            if words > 1:
+                over = s < t
+                if carry is not None:
+                    s += carry
+                    over |= s < carry
+                carry = over.astype(np.uint64)
+            d0.append((s ^ vp[w]) | x[w] | vn[w])
+            hp.append(vn[w] | ~(d0[w] | vp[w]))
+            hn.append(d0[w] & vp[w])
+        step = 1 - (d0[-1] >> np.uint64(63)).astype(np.int64)
+        if i >= first_turn[m - 1]:
+            place = bits - 2 - (i - turn[:m])
+            row, own = np.flatnonzero(place <= bits - 2), place >> 6
+            for w in range(words):
+                r = row[own[row] == w]
+                to = (place[r] & 63).astype(np.uint64)
+                step[r] = ((hp[w][r] >> to) & one).astype(np.int64) - ((hn[w][r] >> to) & one).astype(np.int64)
+        score[:m] += step
+        for w in range(words):
+            down = d0[w] >> one
+            if w + 1 < words:
+                down |= d0[w + 1] << np.uint64(63)
+            vp[w] = hn[w] | ~(down | hp[w])
+            vn[w] = down & hp[w]
+    out = np.empty(n, bool)
+    out[order] = score <= most
+    return out
+
+
+def _alone(a: list[int], b: list[int], most: int) -> bool:
+    """_banded() of one pair, whose band is one long integer."""
+    bits = 2 * most + 1
+    full, last = (1 << bits) - 1, bits - 1
+    places = {c: bytearray((len(a) + bits) // 8 + 1) for c in set(a)}
+    for k, c in enumerate(a):
+        at = k + bits - 1 - most
+        places[c][at >> 3] |= 1 << (at & 7)
+    table = {c: int.from_bytes(v, "little") for c, v in places.items()}
+    vp, vn, score, turn = full ^ ((1 << (bits - 1 - most)) - 1), 0, most, len(a) - most
+    # As the last row ends the score falls by one a column at most.
+    over = 2 * most + len(b) - len(a)
+    for i, c in enumerate(b):
+        x = (table.get(c, 0) >> i) & full
+        d0 = ((((x & vp) + vp) & full) ^ vp) | x | vn
+        hp, hn = vn | (full ^ (d0 | vp)), d0 & vp
+        if i < turn:
+            score += not d0 >> last
+            if score > over:
+                return False
+        else:
+            to = bits - 2 - (i - turn)
+            score += (hp >> to & 1) - (hn >> to & 1)
+        down = d0 >> 1
+        vp, vn = hn | (full ^ (down | hp)), down & hp
+    return score <= most
+
+
+def gathered(batches, least: int = 1 << 23):
+    """The batches, small ones put together to some least bytes, as within() is faster on many pairs."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def within(x: pa.Array, y: pa.Array, most: np.ndarray) -> np.ndarray:
     """For each pair of texts, whether their Levenshtein distance in characters is at most most."""
     out = np.zeros(len(x), bool)
@@ -99,12 +225,35 @@ def within(x: pa.Array, y: pa.Array, most: np.ndarray) -> np.ndarray:
     most = np.asarray(most, np.int64)
     out[np.maximum(la, lb) <= most] = True
     rest = np.flatnonzero(~out & (np.abs(la - lb) <= most) & (np.minimum(la, lb) > 0))
-    rest = rest[np.argsort(most[rest], kind="stable")]
+    swap = la < lb
+    a, b, la, lb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, lb, la), np.where(swap, la, lb)
+    words = (2 * most + 1 + 63) // 64
+    kinds, ids = _numbered(code)
+    narrow = rest[words[rest] <= BAND]
+    narrow = narrow[np.lexsort((la[narrow], words[narrow]))]
+    lo, few = 0, []
+    while lo < len(narrow):
+        w, longest = int(words[narrow[lo]]), la[narrow[lo : lo + PAIRS]]
+        fit = np.searchsorted(((longest + 128 * w) // 64 + 2) * np.arange(1, len(longest) + 1) * kinds, TABLE, "right")
+        hi = min(lo + max(1, int(fit)), lo + int(np.searchsorted(words[narrow[lo : lo + PAIRS]], w, "right")))
+        p = narrow[lo:hi]
+        # A column costs some calls however few pairs it has.
+        if len(p) * int(most[p[-1]]) ** 2 >= FEW * w * int(la[p[-1]]):
+            out[p] = _banded(ids, kinds, a[p], la[p], b[p], lb[p], most[p], w)
+        else:
+            few.append(p)
+        lo = hi
+    wide = rest[words[rest] > BAND]
+    near = np.minimum(most, np.where(words > BAND, NEAR, most))
+    rest = np.concatenate([wide, *few])
+    rest = rest[np.argsort(near[rest], kind="stable")]
     lo = 0
     while lo < len(rest):
-        widths = 2 * most[rest[lo:]] + 3
+        widths = 2 * near[rest[lo:]] + 3
         hi = lo + max(1, int(np.searchsorted(np.arange(1, len(widths) + 1) * widths, CELLS, "right")))
         p = rest[lo:hi]
-        out[p] = _batch(runs, a[p], la[p], b[p], lb[p], most[p])
+        out[p] = _batch(runs, a[p], la[p], b[p], lb[p], near[p])
         lo = hi
+    for k in wide[~out[wide]]:
+        out[k] = _alone(code[a[k] : a[k] + la[k]].tolist(), code[b[k] : b[k] + lb[k]].tolist(), int(most[k]))
     return out

@@ -74,8 +74,8 @@ def line_groups(docs: DataFrame, similarity: float = 0.9, limit: int = 19, targe
     texts = cut(texts_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct()).dropDuplicates(["node"]), "close-lines")
 
     def alike(batches):
-        for batch in batches:
-            for part in simhash.chunks(batch, "x", 1 << 20):
+        for batch in edits.gathered(batches):
+            for part in simhash.chunks(batch, "x", 1 << 24):
                 x, y = part.column(2), part.column(3)
                 longer = np.maximum(*(pc.utf8_length(t).to_numpy(zero_copy_only=False) for t in (x, y)))
                 keep = edits.within(x, y, np.floor((1 - similarity) * longer + 1e-9))
