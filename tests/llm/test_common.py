@@ -52,5 +52,18 @@ def test_linked_tries_every_pair_of_a_bucket(spark):
     assert got == brute(pairs)
 
 
+def test_a_bucket_falls_together_by_its_node_of_least_rank(spark):
+    """Of 60 nodes only the last, of least rank, is accepted with others: one round of pairs is enough."""
+    tried = []
+
+    def verify(pairs):
+        tried.extend((p.a, p.b) for p in pairs.select("a", "b").collect())
+        return pairs.where("b = 59")
+
+    keys = spark.createDataFrame([(1, k, True, 1 if k == 59 else 20) for k in range(60)], "key long, node long, probe boolean, rank int")
+    edges = {(e.a, e.b) for e in common.linked(keys, verify).collect()}
+    assert edges == {(k, 59) for k in range(59)} and len(tried) == 59
+
+
 def test_a_cluster_needs_the_shared_folder(spark):
     assert common.shared_folder(spark).startswith("file:")

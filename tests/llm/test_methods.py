@@ -430,6 +430,29 @@ def test_filters_hold_what_was_put_in_and_overlap_is_normalised():
     assert digest.overlap(bits.tobytes(), bits.tobytes()) == pytest.approx(100) and digest.overlap(bits.tobytes(), other.tobytes()) < 5
 
 
+@pytest.mark.parametrize("block", [1, 7, 1 << 15])
+def test_overlaps_of_many_pairs_against_the_definition(block):
+    r = np.random.default_rng(3)
+
+    def one(a, b):
+        x, y = sorted((np.unpackbits(np.frombuffer(v, np.uint8)).reshape(-1, digest.BITS).astype(int) for v in (a, b)), key=len)
+        best = []
+        for f in x:
+            scores = [0.0]
+            for g in y:
+                chance, most = f.sum() * g.sum() / digest.BITS, min(f.sum(), g.sum())
+                floor = chance + 0.3 * (most - chance)
+                scores.append(100 * ((f & g).sum() - floor) / (most - floor) if (f & g).sum() > floor and most > floor else 0.0)
+            best.append(max(scores))
+        return np.mean(best) if best else 0.0
+
+    pool = r.random((4, digest.BITS)) < r.random((4, 1)) / 2
+    made = [np.packbits(pool[r.integers(0, 4, k % 5)] & (r.random(digest.BITS) < 0.9), axis=1).tobytes() for k in range(60)]
+    a, b = made[:30], made[29:0:-1] + made[:1]
+    got = digest.overlaps(pa.array([b"", *a], pa.binary()).slice(1), pa.array(b, pa.binary()), block)
+    assert np.allclose(got, [one(x, y) for x, y in zip(a, b)]) and (got > 20).sum() > 5
+
+
 def test_digests_find_versions(spark):
     texts = [d[1] for d in read("documents") if len(d[1]) > 600][:60]
     versions = [t[:200] + " inserted words here " + t[220:] for t in texts]

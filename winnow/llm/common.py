@@ -158,8 +158,8 @@ def linked(keys: DataFrame, verify, sketch: int | None = None) -> DataFrame:
 
     keys has (key, node) and, if sketch is given, an integer s of which at most so many bits may differ between
     a pair worth verifying; if it has a boolean probe, only pairs are tried of which one at least is a probe for the key
-    that they share. Every node is first held against the least node of its bucket, which is linear in the
-    bucket; groups of copies fall together there. Pairs are then tried only between nodes that are still in
+    that they share. Every node is first held against one node of its bucket, the probe of least rank if keys has an integer rank, and of
+    those the least, which is linear in the bucket; groups of copies fall together there. Pairs are then tried only between nodes that are still in
     different groups, so no pair is left out and a bucket full of one group's copies costs nothing more.
     verify takes pairs (a, b) and returns those accepted.
     """
@@ -168,14 +168,16 @@ def linked(keys: DataFrame, verify, sketch: int | None = None) -> DataFrame:
         keys = keys.withColumn("s", F.lit(0))
     if "probe" not in keys.columns:
         keys = keys.withColumn("probe", F.lit(True))
+    if "rank" not in keys.columns:
+        keys = keys.withColumn("rank", F.lit(0))
     close = (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= sketch) if sketch is not None else F.lit(True)
     shared = cut(
-        keys.select("key", "node", "s", "probe")
-        .withColumn("first", F.min(F.struct(~F.col("probe"), "node", "s")).over(bucket))
+        keys.select("key", "node", "s", "probe", "rank")
+        .withColumn("first", F.min(F.struct(~F.col("probe"), "rank", "node", "s")).over(bucket))
         .withColumn("n", F.count("*").over(bucket))
         .withColumn("probed", F.max("probe").over(bucket))
         .where("n > 1 and probed")
-        .drop("probed"),
+        .drop("probed", "rank"),
         "buckets",
     )
     led = shared.select(F.col("first.node").alias("a"), F.col("node").alias("b"), "s", F.col("first.s").alias("t")).where("a <> b").where(close)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -111,24 +110,53 @@ def filters(text: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return chain, np.packbits(flags, axis=1)
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """0..100: for each filter of the shorter digest the best normalised overlap with a filter of the other, on average.
+def overlaps(a: pa.Array, b: pa.Array, block: int = 1 << 15) -> np.ndarray:
+    """0..100 for each pair of digests: for each filter of the shorter one the best normalised overlap with a filter of the other, on average.
 
     An overlap counts from 30 % of the way between what chance gives and the most that is possible. A digest
-    without a filter compares to nothing: 0.
+    without a filter compares to nothing: 0. About block pairs of filters are held at a time.
     """
-    x, y = (np.frombuffer(v, np.uint8).reshape(-1, BITS // 8) for v in (a, b))
-    if not len(x) or not len(y):
-        return 0.0
-    if len(x) > len(y):
-        x, y = y, x
-    px, py = np.bitwise_count(x).sum(axis=1, dtype=np.int64), np.bitwise_count(y).sum(axis=1, dtype=np.int64)
-    both = np.stack([np.bitwise_count(r & y).sum(axis=1, dtype=np.int64) for r in x])
-    chance = px[:, None] * py[None, :] / BITS
-    most = np.minimum(px[:, None], py[None, :])
-    floor = chance + 0.3 * (most - chance)
-    score = np.where((both > floor) & (most > floor), 100 * (both - floor) / np.maximum(most - floor, 1e-9), 0.0)
-    return float(score.max(axis=1).mean())
+    (wide, x, nx), (wide_y, y, ny) = _rows(a), _rows(b)
+    swap = nx > ny
+    bits = np.concatenate((wide, wide_y))
+    x, y = np.where(swap, y + len(wide), x), np.where(swap, x, y + len(wide))
+    nx, ny = np.minimum(nx, ny), np.maximum(nx, ny)
+    size = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    out = np.zeros(len(nx))
+    pairs = np.flatnonzero(nx)
+    total, start = np.cumsum(nx[pairs] * ny[pairs]), 0
+    while start < len(pairs):
+        stop = max(start + 1, int(np.searchsorted(total, block + (total[start - 1] if start else 0), "right")))
+        p = pairs[start:stop]
+        # Every filter of the shorter digest, and for each of them every one of the other.
+        own = np.repeat(p, nx[p])
+        first = np.cumsum(nx[p]) - nx[p]
+        f = x[own] + np.arange(len(own)) - np.repeat(first, nx[p])
+        many = ny[own]
+        begin = np.cumsum(many) - many
+        i = np.repeat(f, many)
+        j = np.repeat(y[own] - begin, many) + np.arange(len(i))
+        both = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
+        chance, most = size[i] * size[j] / BITS, np.minimum(size[i], size[j])
+        floor = chance + 0.3 * (most - chance)
+        score = np.where((both > floor) & (most > floor), 100 * (both - floor) / np.maximum(most - floor, 1e-9), 0.0)
+        out[p] = np.add.reduceat(np.maximum.reduceat(score, begin), first) / nx[p]
+        start = stop
+    return out
+
+
+def _rows(digests: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All filters as rows of words of 64 bits, the first of each digest, and how many it has."""
+    digests = digests.cast(pa.large_binary())
+    offsets = np.frombuffer(digests.buffers()[1], np.int64)[digests.offset : digests.offset + len(digests) + 1]
+    data = np.frombuffer(digests.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = (offsets - offsets[0]) // (BITS // 8)
+    return np.frombuffer(data.tobytes(), np.uint64).reshape(-1, BITS // 64), offsets[:-1], np.diff(offsets)
+
+
+def overlap(a: bytes, b: bytes) -> float:
+    """overlaps() of one pair."""
+    return float(overlaps(pa.array([a], pa.binary()), pa.array([b], pa.binary()))[0])
 
 
 def probes(h: np.ndarray, owner: np.ndarray, part: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -194,11 +222,11 @@ def compared(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     two = nodes.select(F.col("node").alias("b"), F.col("digest").alias("db"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "da", "db")
 
-    def run(frames):
-        for pdf in frames:
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": [round(overlap(x, y), 4) for x, y in zip(pdf["da"], pdf["db"])]})
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(overlaps(batch.column(2), batch.column(3)), 4))], ["a", "b", "score"])
 
-    return both.mapInPandas(run, "a long, b long, score double")
+    return both.mapInArrow(run, "a long, b long, score double")
 
 
 def fingerprints(docs: DataFrame, least_score: float = 20.0) -> DataFrame:
@@ -246,9 +274,10 @@ def fingerprints(docs: DataFrame, least_score: float = 20.0) -> DataFrame:
             owner = np.repeat(np.arange(len(size)), size)
             nth = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
             probe = probes(h, owner, nth // PER_FILTER, level[(h >> np.uint64(44)).astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[owner]), pa.array(probe)], ["key", "node", "probe"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node[owner]), pa.array(probe), pa.array(size[owner].astype(np.int32))], ["key", "node", "probe", "rank"])
 
-    keys = nodes.select("node", "features").mapInArrow(first, "key long, node long, probe boolean")
+    # A short text is the likeliest to lie in all the others, so each bucket is first held against its shortest.
+    keys = nodes.select("node", "features").mapInArrow(first, "key long, node long, probe boolean, rank int")
     edges = cut(linked(keys, lambda pairs: compared(pairs, nodes).where(F.col("score") >= least_score)), "scored")
     best = edges.select(F.explode(F.array("a", "b")).alias("node"), "score").groupBy("node").agg(F.max("score").alias("best"))
     label = components(edges)
