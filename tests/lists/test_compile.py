@@ -1,6 +1,7 @@
 import pytest
 
 from winnow.operators.clean import clean, clean_stats
+from winnow.plans import registry
 from winnow.plans.compile import compile_rules, stage_summaries
 from winnow.sources.staging import staged
 
@@ -94,3 +95,31 @@ def test_cleaning(spark):
     assert got == CLEANING
     stats = clean_stats(done).first()
     assert stats.lines_raw == len(CLEANING) and stats.lines_clean == sum(r[1] is not None for r in CLEANING) and stats.url_path_removed == 3
+
+
+def test_equal_lines_are_compiled_once_and_counted_each(spark):
+    lines = ["||a.org^", "0.0.0.0 b.org c.org", "||c.a.org^$client=x", "/r/", "@@||b.org^", "||bad", "localhost", "", "*t*", "||d.org^$third-party"]
+    one, many = compiled(spark, lines), compiled(spark, [*lines, *[f" {x} " for x in lines], *lines[::-1]])
+    assert many.found.count() == len(lines) and {r.n for r in many.found.collect()} == {3}
+    assert many.output().orderBy("section", "key_o", "o", "line").collect() == one.ordered().collect()
+    columns = ("o", "rule", "verdict", "by_o", "by_exception", "detail")
+    assert sorted(map(str, many.kept.select(*columns).collect())) == sorted(map(str, one.kept.select(*columns).collect()))
+    single, triple = (done.stats().first().asDict() for done in (one, many))
+    per_line = {k for k in single if k.startswith("rule_effect_") or k in ("total_input", "malformed_discarded", "local_hostname_pruned")}
+    assert triple == single | {k: 3 * single[k] for k in per_line} | {"duplicate_pruned": 2 * 6}
+    assert many.routed.count() == 3 * len(lines) and many.rules.where("nth > 1").count() == 2 * 4
+
+
+def test_nothing_is_compiled_to_nothing(spark):
+    done = compiled(spark, [])
+    assert set(done.stats().first()) == {0} and done.routed.count() == done.rules.count() == 0
+
+
+def test_corpus_lines_are_cleaned_and_compiled_once(spark, tmp_path):
+    events = spark.range(12).selectExpr("id * 34 * 60 as event_id", "1L as user_id", "'view' as event_type")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    done = registry._compiled(spark, str(tmp_path))
+    assert [(r.line, r.ord, r.n) for r in done.found.collect()] == [("||view.u1.shop.co.uk^", 0, 12)]
+    stats = done.stats().first()
+    assert (stats.total_input, stats.duplicate_pruned, stats.total_output) == (12, 11, 1) and done.lines.count() == 12

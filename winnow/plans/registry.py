@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import REASONS, clean
 from ..functions.suffix import with_suffix
+from ..functions.text import strip
 from ..operators.route import classify, first_wins, records, route
-from ..sources.staging import staged
+from ..sources.staging import counted, staged
 from .compile import EFFECTS, Compiled, compile_rules
 from .corpus import corpus
 from ..functions.syntax import UNSUPPORTED
@@ -46,7 +47,12 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _compiled(spark: SparkSession, sf_dir: str) -> Compiled:
-    return compile_rules(_lines(spark, sf_dir))
+    """Equal raw lines are cleaned once, and equal clean ones compiled once."""
+    raw = corpus(spark, sf_dir).select("ord", "raw")
+    different = staged(clean(counted(raw, "raw")).select("raw", "ord", "n", "line"), "clean")
+    lines = raw.join(different.where("line is not null").select("raw", "line"), "raw")
+    short = different.where("line is not null").select("ord", "n", strip("line").alias("line"))
+    return compile_rules(lines.select("ord", "line"), counted(short, "line"))
 
 
 @query(using(CLEANED, "SELECT ord, t AS line, shorter AS was_trimmed FROM cleaned WHERE discard_reason IS NULL"))

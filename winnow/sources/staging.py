@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @functools.lru_cache(maxsize=1)
@@ -31,3 +32,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, text: str) -> DataFrame:
+    """(text, ord, n): every different text of df (ord, text, and n if a row stands for several), the least ord and the number of its rows.
+
+    They are few beside the rows, but what follows may take long on each; so they are spread over as many tasks as a
+    shuffle has, which would be put together by their size otherwise.
+    """
+    n = F.sum("n") if "n" in df.columns else F.count("*")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.groupBy(text).agg(F.min("ord").alias("ord"), n.alias("n")).repartition(parts, "ord")
