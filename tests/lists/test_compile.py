@@ -1,6 +1,8 @@
 import pytest
 
 from winnow.operators.clean import clean, clean_stats
+from winnow.operators.cover import hits
+from winnow.operators.route import indexed
 from winnow.plans import registry
 from winnow.plans.compile import compile_rules, stage_summaries
 from winnow.sources.staging import staged
@@ -123,3 +125,11 @@ def test_corpus_lines_are_cleaned_and_compiled_once(spark, tmp_path):
     assert [(r.line, r.ord, r.n) for r in done.found.collect()] == [("||view.u1.shop.co.uk^", 0, 12)]
     stats = done.stats().first()
     assert (stats.total_input, stats.duplicate_pruned, stats.total_output) == (12, 11, 1) and done.lines.count() == 12
+
+
+def test_repeated_exceptions_are_looked_up_once(spark):
+    names = ["q.org", "Q.org", "q.ORG", "Q.ORG"]
+    done = compiled(spark, ["||x.q.org^", "||y.q.org^", *[f"@@||{x}^" for x in names], *[f"@@||{x}^$client=a" for x in names]])
+    found = hits(indexed(done.rules.where("nth = 1")), done.exceptions)
+    assert sorted((r.o.ord, r.t_o.ord) for r in found.collect()) == [(0, 2), (0, 6), (1, 2), (1, 6)]
+    assert {(r.rule, r.verdict, r.by_o.ord) for r in done.kept.collect()} == {("||x.q.org^", "exception_covered", 2), ("||y.q.org^", "exception_covered", 2)}

@@ -16,9 +16,13 @@ SENT = 200_000
 
 
 def targets(rules: DataFrame, exceptions: DataFrame) -> dict[str, DataFrame]:
-    """What a rule can be covered by, under the key it is looked up by: rules of the index, suffix wildcards and exceptions."""
+    """What a rule can be covered by, under the key it is looked up by: rules of the index, suffix wildcards and exceptions.
+
+    Only the first counts of those that can't be told apart under a key, so a popular one isn't joined as often as it is repeated.
+    """
     scope = [F.col(c).alias(f"t_{c}") for c in SCOPE_COLUMNS]
-    found = lambda df, key, o, wild: df.select(F.col(key).alias("key"), o.alias("t_o"), wild.alias("t_wild"), *scope)
+    same = ("key", "t_wild", *[f"t_{c}" for c in SCOPE_COLUMNS])
+    found = lambda df, key, o, wild: df.select(F.col(key).alias("key"), o.alias("t_o"), wild.alias("t_wild"), *scope).groupBy(*same).agg(F.min("t_o").alias("t_o"))
     suffix = F.col("section") == "tld_wildcard"
     return {
         "rule": found(rules.where(~suffix), "storage_key", F.col("o"), F.lit(False)),
